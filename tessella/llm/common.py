@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of whole texts in one Arrow batch.  A batch is held in a Python worker,
 #: so it has to stay small when some texts are very long.
@@ -57,6 +58,11 @@ def split_bucket(doc_id: str, parts: int):
     return F.crc32(F.col(doc_id).cast("string")) % parts
 
 
+def extend(schema: T.StructType, ddl: str) -> T.StructType:
+    """``schema`` with the columns of a DDL string after its own."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """A text column as UTF-8 bytes, without decoding."""
     return batch.column(column).cast(pa.binary()).to_pylist()

@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import extend
+
 BUCKETS = 1 << 14
 GRAMS = (1, 2, 3)
 CENTROIDS = 4
@@ -208,5 +210,5 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
             lang, score, out = zip(*map(model.predict, batch.column(text_col).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
 
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = extend(docs.select(*keep).schema, "lang_pred string, score double, rejected boolean")
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import split_bucket, text_batches
@@ -22,12 +22,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _held_out(parts: int, fold: int) -> Column:
+    return F.coalesce(split_bucket("doc_id", parts) == fold, F.lit(False))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.bpe import digests
 
@@ -38,9 +48,24 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import langid
 
     docs = table(spark, sf_dir, "documents")
-    held_out = split_bucket("doc_id", 4) == 2
-    model = langid.fit(docs.where(~F.coalesce(held_out, F.lit(False))))
-    return langid.predict(docs, model, ["doc_id"]).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+    model = langid.fit(docs.where(~_held_out(4, 2)))
+    return langid.predict(docs, model, ["doc_id"]).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, ~_held_out(4, 2))
+    return quality.predict(docs, model, ["doc_id"]).select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import chat
+
+    said = "</s>[INST] ok [/INST]"
+    turns = chat.all_turns(table(spark, sf_dir, "conversations"), [(-1, 0, "user", said), (-1, 1, "assistant", said)])
+    return chat.read_back(chat.format_windows(turns, chat.bpe_counter(tokenizer_path())), in_order=True)
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +80,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import rules
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = rules.fit(docs, labels, ~_held_out(4, 2))
+    return rules.apply(docs, model, ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_html": op2_html,
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
+    "op5_quality": op5_quality,
+    "op6_chat": op6_chat,
     "op7_linededup": op7_linededup,
+    "op8_rules": op8_rules,
     "op10_decontaminate": op10_decontaminate,
 }
 
