@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word has a vector, and so has every hashed character n-gram; a document
-is the average of all vectors of its words and their n-grams; a softmax layer
+Every word has a vector, and so has every hashed character n-gram, and the
+event that a word repeats the one before; a document is the average of all
+vectors of its words, their n-grams and such events; a softmax layer
 turns it into the probabilities of label 0 and 1.  Vectors and layer are
 trained together by stochastic gradient descent in numpy, on a bounded sample:
 about ``SAMPLE_PER_LABEL`` documents of each label, chosen by a hash of the id.
@@ -29,7 +30,7 @@ BUCKETS = 1 << 16
 DIMENSIONS = 16
 SHORTEST, LONGEST = 3, 5
 SAMPLE_PER_LABEL = 1000
-EPOCHS = 15
+EPOCHS = 8
 RATE = 4.0
 THRESHOLD = 0.7
 

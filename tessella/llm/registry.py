@@ -88,6 +88,15 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply(docs, model, ["doc_id"])
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import lm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.fit(docs.where(~_held_out(5, 1)))
+    scores = lm.score(docs, model, ["doc_id"])
+    return scores.select("doc_id", _held_out(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_html": op2_html,
@@ -97,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat": op6_chat,
     "op7_linededup": op7_linededup,
     "op8_rules": op8_rules,
+    "op9_lm": op9_lm,
     "op10_decontaminate": op10_decontaminate,
 }
 

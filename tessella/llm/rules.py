@@ -5,7 +5,7 @@ with under ``MIN_WORDS`` words, or if over half of them stand in a 3-word
 window that the text holds twice or more.
 
 The method's verdict is a logistic regression over hashed words, neighbouring
-words and character n-grams (their shares of all features of the text),
+words, words that repeat the one before, and character n-grams (their shares of all features of the text),
 trained on a bounded sample of labelled rows: about ``SAMPLE_PER_LABEL`` of
 each label, chosen by a hash of the id.  A quarter of the sample is kept back
 and calibrates the output to probabilities (Platt's two-parameter fit), which

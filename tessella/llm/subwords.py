@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -31,6 +33,15 @@ def pairs(words: list[bytes]) -> np.ndarray:
     return (h[:-1] * np.uint32(0x9E3779B1)) ^ h[1:]
 
 
+#: The feature of a word that stands next to its like; no word can hash to it by its text.
+AGAIN = crc32(b"\n again")
+
+
+def again(words: list[bytes]) -> int:
+    """Words that equal the one before."""
+    return sum(map(eq, words, islice(words, 1, None)))
+
+
 class WordWeights(dict):
     """Word -> sum of its features' weights, and i times their number; filled on demand."""
 
@@ -49,7 +60,9 @@ class WordWeights(dict):
         return value
 
     def total(self, words: list[bytes]) -> complex:
-        return sum(map(self.__getitem__, words), 0j)
+        """Of all features of a text: the sum of weights, and i times their number."""
+        n = again(words)
+        return sum(map(self.__getitem__, words), complex(n * self.weights[AGAIN & (len(self.weights) - 1)], n))
 
 
 def counts(text: bytes, buckets: int, shortest: int, longest: int, with_pairs: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +71,7 @@ def counts(text: bytes, buckets: int, shortest: int, longest: int, with_pairs: b
     total = np.zeros(buckets)
     for word, n in Counter(words).items():
         np.add.at(total, np.array(subwords(word, shortest, longest), dtype=np.int64) & (buckets - 1), n)
+    total[AGAIN & (buckets - 1)] += again(words)
     if with_pairs and len(words) > 1:
         total += np.bincount(pairs(words) & np.uint32(buckets - 1), minlength=buckets)
     at = np.flatnonzero(total)
