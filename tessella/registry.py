@@ -1,10 +1,6 @@
 """Queries over the driver's tables and their SQL, collected from the modules of ``tessella.plans``."""
 
-from __future__ import annotations
+from tessella.plans import groups, graph, extensions, joining, provenance, scalars, selecting, telemetry  # noqa: F401
+from tessella.plans.query import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
