@@ -90,9 +90,11 @@ def _hint(tag: str, attributes: str, outer: float) -> float:
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
                 names = [w for part in value.split() for w in (part.lower(), *_NAME_PARTS.split(part), *_NAME_PARTS.split(part.lower())) if w]
-                if any(_BAD_NAMES.match(w.lower()) for w in names):
+                good = any(_GOOD_NAMES.match(w.lower()) for w in names)
+                bad = {w.lower() for w in names if _BAD_NAMES.match(w.lower())}
+                if bad and not (good and bad == {"header"}):  # the header of an article is its heading
                     return -12.0
-                if own is None and any(_GOOD_NAMES.match(w.lower()) for w in names):
+                if own is None and good:
                     own = 3.0
             elif name == "role":
                 own = ROLE_HINTS.get(value.lower(), own)
@@ -156,7 +158,7 @@ def blocks(page: str) -> list[Block]:
                 unread -= e.tag in UNREAD
             del stack[depth:]
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in RAW:  # what is not read does not part the text around it
             if not unread:
                 flush()
             if tag in CLOSERS:
