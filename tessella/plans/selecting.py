@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.ranges import in_ranges
 from tessella.operators.targets import TargetSet
 from tessella.plans import tables as t
 from tessella.plans.query import query
@@ -104,6 +105,4 @@ def distinct_in_order(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 2 AND 400 OR o_orderkey >= 1000")
 def step_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Steps in ``2-400,1000-``."""
-    from tessella.plans.steps import in_ranges
-
     return t.table(spark, d, "orders").where(in_ranges(F.col("o_orderkey"), "2-400,1000-")).select("o_orderkey")

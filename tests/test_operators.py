@@ -3,7 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessella.operators import dag, preview, provenance, telemetry
-from tessella.plans.steps import in_ranges, named_like
+from tessella.operators.ranges import in_ranges, named_like
 
 
 def pairs(df):
