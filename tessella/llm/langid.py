@@ -170,7 +170,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def _sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str, counts: dict, per_lang: int, idf: np.ndarray) -> dict:
     """By language: (vector, vectors of snippets) of about ``per_lang`` texts, chosen by hash."""
     share = F.coalesce(*(F.when(F.col(lang_col) == k, F.lit(min(1.0, per_lang / n))) for k, n in counts.items())) if counts else F.lit(0.0)
-    chosen = rows.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * per_lang * max(1, len(counts)))
+    chosen = rows.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < share * (1 << 30))
 
     def pack(pairs: list) -> bytes:
         return b"".join(np.uint32(len(a)).tobytes() + a.astype(np.uint16).tobytes() + w.astype(np.float32).tobytes() for a, w in pairs)
@@ -185,7 +185,7 @@ def _sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str, counts:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["lang", "packed"])
 
     out: dict = {}
-    for lang, packed in chosen.select(F.col(lang_col).alias("lang"), text_col).mapInArrow(run, "lang string, packed binary").collect():
+    for lang, packed in chosen.select(F.col(lang_col).alias("lang"), text_col).mapInArrow(run, "lang string, packed binary").limit(2 * per_lang * max(1, len(counts))).collect():
         pairs, at = [], 0
         while at < len(packed):
             n = int(np.frombuffer(packed, np.uint32, 1, at)[0])
