@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from tessella.llm.common import cut, text_bytes
 
 DIVISOR = 4
-LONG_WORDS = 50
-MIN_WORDS = 20
+LONG_WORDS = 20
+MIN_WORDS = 50
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,11 +56,23 @@ def chunks(text: bytes) -> list[bytes]:
     return [b"\n".join(lines[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def _countable(chunk: bytes) -> bool:
-    if len(chunk) < 2 * MIN_WORDS - 1:
-        return False
-    words = len(chunk.split())
-    return words >= LONG_WORDS or (words >= MIN_WORDS and b"\n" in chunk)
+def removed(parts: list[bytes], repeats: list[bool]) -> list[bool]:
+    """Which chunks of a text go: those in stretches of repeating chunks with enough words.
+
+    Chunks without a word neither start nor end a stretch.
+    """
+    out = [False] * len(parts)
+    start, words, last = 0, 0, -1
+    for i in range(len(parts) + 1):
+        if i < len(parts) and repeats[i]:
+            if last < start:
+                start = i
+            words, last = words + len(parts[i].split()), i
+        elif i == len(parts) or parts[i].split():
+            if words >= MIN_WORDS:
+                out[start : last + 1] = [True] * (last + 1 - start)
+            start, words = i + 1, 0
+    return out
 
 
 def _key(chunk: bytes) -> bytes:
@@ -77,7 +89,7 @@ def _chunk_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for r, text in enumerate(text_bytes(batch, text_col)):
                 found: dict[bytes, list[int]] = {}
                 for i, chunk in enumerate(chunks(text)) if text else ():
-                    if _countable(chunk):
+                    if chunk and not chunk.isspace():
                         found.setdefault(_key(chunk), [i, 0])[1] += 1
                 rows += [r] * len(found)
                 keys += found
@@ -97,7 +109,7 @@ def _repeated_texts(marked: DataFrame, text_col: str) -> DataFrame:
             for text, marks in zip(text_bytes(batch, text_col), batch.column("_marks").to_pylist(), strict=True):
                 wanted = {m["key"] for m in marks or ()}
                 for chunk in chunks(text) if wanted else ():
-                    if _countable(chunk) and (k := _key(chunk)) in wanted:
+                    if (k := _key(chunk)) in wanted:
                         keys.append(k)
                         texts.append(chunk)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.binary())], ["key", "chunk"])
@@ -132,13 +144,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left, n, w = text, 0, 0
                 if text and marks:
                     keep_at = {m["key"]: m["keep_at"] for m in marks}
-                    left = []
-                    for i, chunk in enumerate(chunks(text)):
-                        if _countable(chunk) and keep_at.get(_key(chunk), i) != i:
-                            n, w = n + 1, w + len(chunk.split())
-                        else:
-                            left.append(chunk)
-                    left = b"\n".join(left)
+                    parts = chunks(text)
+                    go = removed(parts, [keep_at.get(_key(c), i) != i for i, c in enumerate(parts)])
+                    left = b"\n".join(c for c, out in zip(parts, go, strict=True) if not out)
+                    n, w = sum(go), sum(len(c.split()) for c, out in zip(parts, go, strict=True) if out)
                 texts.append(left)
                 gone.append(n)
                 words.append(w)

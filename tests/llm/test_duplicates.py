@@ -136,19 +136,29 @@ def test_boundaries_do_not_shift():
 
 
 def slow_dedup(rows):
-    seen, first = {}, {}
-    for i, t in rows:
-        for at, c in enumerate(linededup.chunks(t.encode()) if t else []):
-            if linededup._countable(c):
-                seen[c] = seen.get(c, 0) + 1
+    first = {}
+    split = {i: linededup.chunks(t.encode()) if t else [] for i, t in rows}
+    for i, parts in split.items():
+        for at, c in enumerate(parts):
+            if c.split():
                 first[c] = min(first.get(c, (i, at)), (i, at))
     out = {}
     for i, t in rows:
-        kept = [c for at, c in enumerate(linededup.chunks(t.encode()) if t else []) if not (linededup._countable(c) and first[c] != (i, at))]
-        out[i] = b"\n".join(kept).decode() if t else t
+        gone = linededup.removed(split[i], [bool(c.split()) and first[c] != (i, at) for at, c in enumerate(split[i])])
+        out[i] = b"\n".join(c for c, g in zip(split[i], gone, strict=True) if not g).decode() if t else t
     return out
 
 
+def test_stretches():
+    a, b, blank = b"w " * 30, b"v " * 25, b" "
+    go = lambda *x: linededup.removed([p for p, _ in x], [r for _, r in x])
+    assert go((a, True), (b, True)) == [True, True]
+    assert go((a, True), (blank, False), (b, True), (blank, False)) == [True, True, True, False]
+    assert go((a, True), (b, False), (b, True)) == [False] * 3
+    assert go((b, False), (a, True), (a, True), (b, False), (a, True)) == [False, True, True, False, False]
+    assert go() == [] and go((blank, False)) == [False]
+
+
 def test_linededup_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     found = {r.doc_id: r.text for r in registry.op7_linededup(spark, str(DATA)).collect()}
@@ -159,18 +169,19 @@ def test_linededup_query(spark):
 def test_linededup_passages(spark):
     passage = "\n".join(" ".join(f"p{k}w{j}" for j in range(55)) for k in range(3))
     short = " ".join(f"s{j}" for j in range(12))
-    rows = [(i, f"own words of {i}\n{passage}\nthe end of {i}\n{short}", "x") for i in range(5)] + [(9, None, "x"), (10, "", "x"), (None, passage, "x"), (11, "clean text\nof two lines", "x")]
+    lines = "\n".join(" ".join(f"q{k}x{j}" for j in range(22)) for k in range(3))  # 66 words in lines of 22
+    rows = [(i, f"own words of {i}\n{passage}\nthe end of {i}\n{short}\nthen {i}\n{lines}", "x") for i in range(5)] + [(9, None, "x"), (10, "", "x"), (None, passage, "x"), (11, "clean text\nof two lines", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chunks_removed string")
     found = {r.doc_id: r for r in linededup.remove_repeats(df).collect()}
     assert found[0].text == rows[0][1] and found[9].text is None and found[10].text == "" and found[11].text == rows[-1][1] and found[None].text == passage
     for i in range(1, 5):
-        assert "p0w0" not in found[i].text and f"own words of {i}" in found[i].text and short in found[i].text
+        assert "p0w0" not in found[i].text and "q2x21" not in found[i].text and f"own words of {i}" in found[i].text and short in found[i].text
         assert found[i].n_words_removed >= 165
     assert linededup.remove_repeats(df.limit(0)).count() == 0
 
 
 def test_linededup_repeats_inside_and_repeated_rows(spark):
-    long = " ".join(f"w{j}" for j in range(60))
+    long = " ".join(f"w{j}" for j in range(60))  # a stretch of its own
     df = spark.createDataFrame([(1, f"{long}\n{long}"), (2, long), (2, long)], "doc_id long, text string")
     found = sorted((r.doc_id, r.text) for r in linededup.remove_repeats(df).collect())
     assert found == [(1, long), (2, ""), (2, "")]
