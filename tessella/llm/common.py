@@ -1,15 +1,16 @@
-"""Helpers shared by the operators: shared-folder tables, Arrow batches, words."""
+"""Helpers shared by the operators: Arrow batches, folds, schemas."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.shared import cut, shared_folder
+
+__all__ = ["cut", "extend", "shared_folder", "split_bucket", "text_batches", "text_bytes"]
+
 #: Rows of whole texts in one Arrow batch.  A batch is held in a Python worker,
 #: so it has to stay small when some texts are very long.
 TEXT_ROWS_PER_BATCH = 256
@@ -20,39 +21,6 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, set here only if unset."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="tessella-")
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:
-        pass  # the session may be gone already; the folder's own retention applies
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage, lets several consumers share one computation, and
-    survives the loss of executors.  The table goes when the program ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessella-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def split_bucket(doc_id: str, parts: int):
     """crc32 of the id as text, modulo ``parts``: the fold of a document."""
     return F.crc32(F.col(doc_id).cast("string")) % parts
