@@ -21,7 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text_batches(spark)
     held_out = F.coalesce(split_bucket("doc_id", 4) == 2, F.lit(False))
     model = langid.fit(docs.where(~held_out))
-    return langid.predict(docs, model, docs.columns).where(~F.col("rejected")).select(docs.columns)
+    return langid.keep_known(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

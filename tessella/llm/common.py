@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tessella.shared import cut, shared_folder
 
-__all__ = ["cut", "extend", "shared_folder", "split_bucket", "text_batches", "text_bytes"]
+__all__ = ["cut", "extend", "free_name", "shared_folder", "split_bucket", "text_batches", "text_bytes", "without"]
 
 #: Rows of whole texts in one Arrow batch.  A batch is held in a Python worker,
 #: so it has to stay small when some texts are very long.
@@ -31,6 +31,20 @@ def extend(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def free_name(taken: list[str], base: str) -> str:
+    """A column name that is not taken, whatever its case."""
+    lowered = {c.lower() for c in taken}
+    while base.lower() in lowered:
+        base += "_"
+    return base
+
+
+def without(names: list[str], new: list[str]) -> list[str]:
+    """``names`` less those that new columns replace, whatever their case."""
+    lowered = {c.lower() for c in new}
+    return [c for c in names if c.lower() not in lowered]
+
+
 def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """A text column as UTF-8 bytes, without decoding."""
     return batch.column(column).cast(pa.binary()).to_pylist()

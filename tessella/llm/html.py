@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import extend
+from tessella.llm.common import extend, without
 
 #: Fixed values of the HTML standard: elements by their role.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -300,7 +300,8 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
-    """The columns ``keep`` of ``pages``, text, and n_chars (its code points)."""
+    """The columns ``keep`` of ``pages``, text, and n_chars (its code points), which replace columns of their names."""
+    keep = without(keep, ["text", "n_chars"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

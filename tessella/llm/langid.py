@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import extend
+from tessella.llm.common import extend, without
 
 BUCKETS = 1 << 14
 GRAMS = (1, 2, 3)
@@ -197,18 +197,28 @@ def _sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str, counts:
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` and lang_pred, score (cosine), rejected.
-
-    ``keep`` must not name any of the three.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # fixed size: BUCKETS x centroids
+    """The columns ``keep`` of ``docs`` and lang_pred, score (cosine), rejected, which replace columns of their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS x centroids
+    new = ["lang_pred", "score", "rejected"]
+    kept = without(keep, new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             lang, score, out = zip(*map(model.predict, batch.column(text_col).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [*kept, *new])
+
+    schema = extend(docs.select(*kept).schema, "lang_pred string, score double, rejected boolean")
+    return docs.select(*dict.fromkeys([*kept, text_col])).mapInArrow(run, schema)
+
+
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the texts that the model rejects."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([not model.predict(t)[2] for t in batch.column(text_col).to_pylist()], pa.bool_()))
 
-    schema = extend(docs.select(*keep).schema, "lang_pred string, score double, rejected boolean")
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

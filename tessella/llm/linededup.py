@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import cut, text_bytes
+from tessella.llm.common import cut, free_name, text_bytes, without
 
 DIVISOR = 4
 LONG_WORDS = 20
@@ -100,13 +100,13 @@ def _chunk_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, schema)
 
 
-def _repeated_texts(marked: DataFrame, text_col: str) -> DataFrame:
+def _repeated_texts(marked: DataFrame, text_col: str, column: str) -> DataFrame:
     """(key, chunk) of each marked chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = [], []
-            for text, marks in zip(text_bytes(batch, text_col), batch.column("_marks").to_pylist(), strict=True):
+            for text, marks in zip(text_bytes(batch, text_col), batch.column(column).to_pylist(), strict=True):
                 wanted = {m["key"] for m in marks or ()}
                 for chunk in chunks(text) if wanted else ():
                     if (k := _key(chunk)) in wanted:
@@ -114,7 +114,7 @@ def _repeated_texts(marked: DataFrame, text_col: str) -> DataFrame:
                         texts.append(chunk)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.binary())], ["key", "chunk"])
 
-    return marked.where("_marks is not null").select(text_col, "_marks").mapInArrow(run, "key binary, chunk binary")
+    return marked.where(F.col(column).isNotNull()).select(text_col, column).mapInArrow(run, "key binary, chunk binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,25 +122,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Columns of those two names are replaced.
     """
+    own = without(docs.columns, ["n_chunks_removed", "n_words_removed"])
+    column = free_name(docs.columns, "_marks")
     found = cut(_chunk_keys(docs, id_col, text_col))
     repeats = found.groupBy("key").agg(F.sum("n").alias("total"), F.min(F.struct(F.col(id_col).alias("doc"), "at")).alias("first")).where("total > 1")
     keep_at = F.when(F.col(id_col) == F.col("first.doc"), F.col("first.at")).otherwise(-1)
-    marks = found.select(id_col, "key").join(repeats.select("key", "first"), "key").groupBy(id_col).agg(F.collect_set(F.struct("key", keep_at.alias("keep_at"))).alias("_marks"))
-    own = [c for c in docs.columns if c not in ("n_chunks_removed", "n_words_removed")]
+    marks = found.select(id_col, "key").join(repeats.select("key", "first"), "key").groupBy(id_col).agg(F.collect_set(F.struct("key", keep_at.alias("keep_at"))).alias(column))
     marked = cut(docs.select(own).join(marks, id_col, "left"))
     # Chunks of one hash whose bytes differ are no repeats.
-    differing = _repeated_texts(marked, text_col).groupBy("key", "chunk").count().groupBy("key").count().where("count > 1").select("key")
+    differing = _repeated_texts(marked, text_col, column).groupBy("key", "chunk").count().groupBy("key").count().where("count > 1").select("key")
     differing = cut(differing)
     if not differing.isEmpty():
         # Practically never: the marks of such keys go, by a join, so their number does not matter.
-        kept = marks.select(id_col, F.explode("_marks").alias("m")).join(differing, F.col("m.key") == F.col("key"), "left_anti").groupBy(id_col).agg(F.collect_set("m").alias("_marks"))
+        kept = marks.select(id_col, F.explode(column).alias("m")).join(differing, F.col("m.key") == F.col("key"), "left_anti").groupBy(id_col).agg(F.collect_set("m").alias(column))
         marked = docs.select(own).join(kept, id_col, "left")
     schema = T.StructType([*(docs.schema[c] for c in own), T.StructField("n_chunks_removed", T.LongType()), T.StructField("n_words_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone, words = [], [], []
-            for text, marks in zip(text_bytes(batch, text_col), batch.column("_marks").to_pylist(), strict=True):
+            for text, marks in zip(text_bytes(batch, text_col), batch.column(column).to_pylist(), strict=True):
                 left, n, w = text, 0, 0
                 if text and marks:
                     keep_at = {m["key"]: m["keep_at"] for m in marks}
@@ -154,4 +155,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = {c: batch.column(c) for c in own} | {text_col: pa.array(texts, pa.binary()).cast(pa.string())}
             yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(gone, pa.int64()), pa.array(words, pa.int64())], [*cols, "n_chunks_removed", "n_words_removed"])
 
-    return marked.select(*own, "_marks").mapInArrow(run, schema)
+    return marked.select(*own, column).mapInArrow(run, schema)

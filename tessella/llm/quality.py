@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from tessella.llm import subwords
-from tessella.llm.common import extend, text_bytes
+from tessella.llm.common import extend, text_bytes, without
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
@@ -76,7 +76,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label_col: str = "quali
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The columns ``keep`` of ``docs``, score (probability of label 1) and predicted (int)."""
+    """The columns ``keep`` of ``docs``, score (probability of label 1) and predicted (int), which replace columns of their names."""
+    keep = without(keep, ["score", "predicted"])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

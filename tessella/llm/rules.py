@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from tessella.llm import subwords
-from tessella.llm.common import extend, text_bytes
+from tessella.llm.common import extend, text_bytes, without
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -130,9 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label_col: str = "quali
 
 
 def apply(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The columns ``keep`` of ``docs``, the base counts, base_failed, score and kept."""
+    """The columns ``keep`` of ``docs``, the base counts, base_failed, score and kept, which replace columns of their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS numbers
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    keep = without(keep, [*names, "base_failed", "score", "kept"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

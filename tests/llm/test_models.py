@@ -231,3 +231,21 @@ def test_lm_edges(spark):
     assert sorted(r.n_tokens for r in found) == [1, 1, 1, 3] and all(r.score < 0 for r in found)
     assert lm.score(df.limit(0), model, ["doc_id"]).count() == 0
     assert lm.perplexity(lm.score(df, model, ["doc_id"])).first().perplexity > 1
+
+
+def test_clashing_columns(spark):
+    """Columns that carry the names of new ones are replaced; others are kept, whatever their names."""
+    docs = spark.createDataFrame([(1, "some words here", "x", "y", 5), (2, None, "x", None, None)], "doc_id long, text string, score string, _marks string, fp int")
+    model = langid.fit(docs.withColumn("lang", F.lit("en")))
+    assert langid.predict(docs, model, docs.columns).columns == ["doc_id", "text", "_marks", "fp", "lang_pred", "score", "rejected"]
+    assert langid.keep_known(docs, model).columns == docs.columns and [r.doc_id for r in langid.keep_known(docs, model).collect()] == [1]
+    flat = rules.Model(np.zeros(rules.BUCKETS), 0.0, 1.0, 0.0)
+    assert rules.apply(docs, flat, docs.columns).count() == 2
+    assert quality.predict(docs, quality.Model(np.zeros(quality.BUCKETS), 0.0), docs.columns).first().score == 0.5
+    assert html.extract(docs.withColumn("html", F.lit("<p>x")), docs.columns).columns == ["doc_id", "score", "_marks", "fp", "text", "n_chars"]
+    from tessella.llm import linededup, simhash
+
+    assert linededup.remove_repeats(docs).columns == [*docs.columns, "n_chunks_removed", "n_words_removed"]
+    assert simhash.deduplicate(docs).columns == docs.columns and simhash.deduplicate(docs).count() == 2
+    named = docs.withColumn("_text", F.lit("t")).withColumn("_block", F.lit(1))
+    assert lm.score(named, lm.fit(named), ["doc_id", "_text", "_block", "score"]).count() == 2
