@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less their repeated chunks; those of which nothing is left go."""
     text_batches(spark)
     cleaned = linededup.remove_repeats(docs)
-    emptied = (F.col("n_chunks_removed") > 0) & (F.trim("text") == "")
+    emptied = (F.col("n_chunks_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     cleaned = cleaned.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_chunks_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
