@@ -1,20 +1,23 @@
-"""Line dedup over content-defined chunks.
-
-A text is split at \\n into lines.  A rolling hash over neighbouring line
-hashes chooses chunk boundaries, so that inserted or deleted lines move no
-boundary but their own: a boundary follows a line if the hash of it and the
-line before falls on ``1/DIVISOR`` of all values, and precedes a line if that
-of it and the line after does.  A line of ``LONG_WORDS`` words or more is a
-chunk of its own, wherever it stands.  Chunks of several lines and
-``MIN_WORDS`` words, and long lines, that occur again anywhere are removed,
-but for the first occurrence (smallest id, then first in the text), once the
-bytes of all chunks of that hash have been compared.
+"""Line dedup over windows of whole lines.
+
+A text is split at \n into lines; lines without a word count for nothing.  A
+window is the shortest run of lines from a line on, or up to a line, that has
+``MIN_WORDS`` words or more.  A run of lines with that many words that occurs
+again is the union of such windows, wherever it stands and however short its
+lines are, and no other windows repeat: so the lines of every window that
+occurred before (smaller id, or earlier in the text) are removed, once the
+bytes of all windows of that hash have been compared.  A line that goes has a
+copy at an earlier place, the first of which is in no repeat and stays.
 
 Only hashes are shuffled to find repeats; texts move once, by id, and the
-texts of repeated chunks are counted on the map side before they move.  A
-chunk that a third of all documents share is one row per task in either
+texts of repeated windows are counted on the map side before they move.  A
+window that a third of all documents share is one row per task in either
 aggregation, and the join back is split by adaptive execution.
 
+``chunks`` and ``removed`` split and clean a text by content-defined
+boundaries instead; ``remove_repeats`` does not use them, as the chunks at both
+ends of a passage merge with the lines around it.
+
 Null texts stay null, empty ones empty.  Rows without an id are returned as
 they are and count for nothing.  Repeated rows of one id are one document.
 """
@@ -75,12 +78,36 @@ def removed(parts: list[bytes], repeats: list[bool]) -> list[bool]:
     return out
 
 
+def windows(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(first, last) of the shortest runs of lines with enough words, from each line on and up to each line; blank lines count for nothing."""
+    counts = [len(x.split()) for x in lines]
+    at = [i for i, n in enumerate(counts) if n]
+    found: set[tuple[int, int]] = set()
+    for order in (at, at[::-1]):
+        words, end = 0, 0
+        for start in range(len(order)):
+            while end < len(order) and words < MIN_WORDS:
+                words += counts[order[end]]
+                end += 1
+            if words < MIN_WORDS:
+                break
+            a, b = order[start], order[end - 1]
+            found.add((min(a, b), max(a, b)))
+            words -= counts[a]
+    return sorted(found)
+
+
+def _run(lines: list[bytes], first: int, last: int) -> bytes:
+    """The lines of a window less blank ones."""
+    return b"\n".join(x for x in lines[first : last + 1] if x.split()) if first < last else lines[first]
+
+
 def _key(chunk: bytes) -> bytes:
     return xxhash.xxh3_128_digest(chunk)
 
 
-def _chunk_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, at, n): each different chunk of a document, its first place and number."""
+def _window_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, at, n): each different window of a document, its first line and number."""
     schema = T.StructType([docs.schema[id_col], T.StructField("key", T.BinaryType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +115,9 @@ def _chunk_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows, keys, at, n = [], [], [], []
             for r, text in enumerate(text_bytes(batch, text_col)):
                 found: dict[bytes, list[int]] = {}
-                for i, chunk in enumerate(chunks(text)) if text else ():
-                    if chunk and not chunk.isspace():
-                        found.setdefault(_key(chunk), [i, 0])[1] += 1
+                lines = text.split(b"\n") if text else []
+                for a, b in windows(lines):
+                    found.setdefault(_key(_run(lines, a, b)), [a, 0])[1] += 1
                 rows += [r] * len(found)
                 keys += found
                 at += [v[0] for v in found.values()]
@@ -101,36 +128,38 @@ def _chunk_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _repeated_texts(marked: DataFrame, text_col: str, column: str) -> DataFrame:
-    """(key, chunk) of each marked chunk."""
+    """(key, run) of each marked window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = [], []
             for text, marks in zip(text_bytes(batch, text_col), batch.column(column).to_pylist(), strict=True):
                 wanted = {m["key"] for m in marks or ()}
-                for chunk in chunks(text) if wanted else ():
-                    if (k := _key(chunk)) in wanted:
+                lines = text.split(b"\n") if wanted else []
+                for a, b in windows(lines):
+                    run_ = _run(lines, a, b)
+                    if (k := _key(run_)) in wanted:
                         keys.append(k)
-                        texts.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.binary())], ["key", "chunk"])
+                        texts.append(run_)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.binary())], ["key", "run"])
 
-    return marked.where(F.col(column).isNotNull()).select(text_col, column).mapInArrow(run, "key binary, chunk binary")
+    return marked.where(F.col(column).isNotNull()).select(text_col, column).mapInArrow(run, "key binary, run binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text less its repeated chunks, and n_chunks_removed, n_words_removed (long).
+    """``docs`` with the text less its repeated runs of lines, and n_chunks_removed (lines), n_words_removed (long).
 
     Columns of those two names are replaced.
     """
     own = without(docs.columns, ["n_chunks_removed", "n_words_removed"])
     column = free_name(docs.columns, "_marks")
-    found = cut(_chunk_keys(docs, id_col, text_col))
+    found = cut(_window_keys(docs, id_col, text_col))
     repeats = found.groupBy("key").agg(F.sum("n").alias("total"), F.min(F.struct(F.col(id_col).alias("doc"), "at")).alias("first")).where("total > 1")
     keep_at = F.when(F.col(id_col) == F.col("first.doc"), F.col("first.at")).otherwise(-1)
     marks = found.select(id_col, "key").join(repeats.select("key", "first"), "key").groupBy(id_col).agg(F.collect_set(F.struct("key", keep_at.alias("keep_at"))).alias(column))
     marked = cut(docs.select(own).join(marks, id_col, "left"))
-    # Chunks of one hash whose bytes differ are no repeats.
-    differing = _repeated_texts(marked, text_col, column).groupBy("key", "chunk").count().groupBy("key").count().where("count > 1").select("key")
+    # Windows of one hash whose bytes differ are no repeats.
+    differing = _repeated_texts(marked, text_col, column).groupBy("key", "run").count().groupBy("key").count().where("count > 1").select("key")
     differing = cut(differing)
     if not differing.isEmpty():
         # Practically never: the marks of such keys go, by a join, so their number does not matter.
@@ -145,10 +174,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left, n, w = text, 0, 0
                 if text and marks:
                     keep_at = {m["key"]: m["keep_at"] for m in marks}
-                    parts = chunks(text)
-                    go = removed(parts, [keep_at.get(_key(c), i) != i for i, c in enumerate(parts)])
-                    left = b"\n".join(c for c, out in zip(parts, go, strict=True) if not out)
-                    n, w = sum(go), sum(len(c.split()) for c, out in zip(parts, go, strict=True) if out)
+                    lines = text.split(b"\n")
+                    go = [False] * len(lines)
+                    for a, b in windows(lines):
+                        if keep_at.get(_key(_run(lines, a, b)), a) != a:
+                            go[a : b + 1] = [True] * (b + 1 - a)
+                    left = b"\n".join(x for x, out in zip(lines, go, strict=True) if not out)
+                    n, w = sum(go), sum(len(x.split()) for x, out in zip(lines, go, strict=True) if out)
                 texts.append(left)
                 gone.append(n)
                 words.append(w)

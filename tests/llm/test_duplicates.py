@@ -187,6 +187,42 @@ def test_linededup_repeats_inside_and_repeated_rows(spark):
     assert found == [(1, long), (2, ""), (2, "")]
 
 
+def slow_runs(rows):
+    """Every run of lines with enough words, compared with every one before it."""
+    lines = {i: [x for x in t.encode().split(b"\n") if x.split()] if t else [] for i, t in rows}
+    first, out = {}, {}
+    runs = {i: [(a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if len(b" ".join(x[a:b]).split()) >= linededup.MIN_WORDS] for i, x in lines.items()}
+    for i, x in lines.items():
+        for a, b in runs[i]:
+            first[tuple(x[a:b])] = min(first.get(tuple(x[a:b]), (i, a)), (i, a))
+    for i, x in lines.items():
+        gone = {k for a, b in runs[i] if first[tuple(x[a:b])] != (i, a) for k in range(a, b)}
+        out[i] = [line.decode() for k, line in enumerate(x) if k not in gone]
+    return out
+
+
+def test_linededup_passages_of_short_lines(spark):
+    """Whole passages of lines of any length go, with their first and last lines."""
+    rows, size = [], [(6, 9), (6, 10), (5, 12), (5, 15), (4, 15), (3, 19), (8, 10), (10, 10), (11, 5)]
+    for k, (n, width) in enumerate(size):
+        passage = "\n".join(" ".join(f"p{k}l{i}w{j}" for j in range(width)) for i in range(n))
+        for copy in range(4):
+            rows.append((10 * k + copy, f"own {k} {copy} a\nown {k} {copy} b\n{passage}\nown {k} {copy} c\nown {k} {copy} d"))
+    long, twelve = " ".join(f"x{j}" for j in range(40)), " ".join(f"y{j}" for j in range(12))
+    rows += [(900 + i, f"own {i}\n{long}\n\n{twelve}\nend {i}") for i in range(3)]
+    rows += [(950, "\n".join(f"s{j} t" for j in range(24))), (951, "\n".join(f"s{j} t" for j in range(24)))]  # 48 words
+    found = {r.doc_id: r.text for r in linededup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        own = [x for x in text.split("\n") if x.startswith(("own", "end"))]
+        assert found[i] == (text if i in (900, 950, 951) or i < 900 and i % 10 == 0 else "\n".join(own)), i
+
+
+def test_linededup_against_all_runs(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    found = {r.doc_id: r.text for r in registry.op7_linededup(spark, str(DATA)).collect()}
+    assert {i: [x for x in (t or "").split("\n") if x.encode().split()] for i, t in found.items()} == slow_runs(rows)
+
+
 def test_linededup_compares_bytes(spark, monkeypatch):
     """Under a hash that always collides nothing that differs is removed."""
     import sys
