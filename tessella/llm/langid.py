@@ -160,10 +160,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     if not langs:
         return Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(1))
     bins, cosines = size_bin(np.array(sizes)), np.array(cosines)
+    # Bins with few texts lie between those around them; outside the filled ones the nearest counts.
+    filled = [b for b in range(32) if (bins == b).sum() >= 20]
     least = np.zeros(32)
-    for b in range(32):
-        if (bins == b).sum() >= 20:
-            least[b] = REJECT_SHARE * np.quantile(cosines[bins == b], 0.01)
+    if filled:
+        least = np.interp(np.arange(32), filled, [REJECT_SHARE * np.quantile(cosines[bins == b], 0.01) for b in filled])
     return Model(langs, idf, np.vstack(centers).T.copy(), least)
 
 

@@ -43,6 +43,14 @@ def test_language_rejects_and_edges(spark):
     assert langid.predict(df, empty, ["doc_id"]).first().lang_pred == "und"
 
 
+def test_language_rejects_long_texts(spark):
+    """Unknown languages are rejected in sizes of which there are few or no labelled texts."""
+    model = langid.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
+    letters = np.array([chr(x) for x in range(0x4E00, 0x4E00 + 3000)])
+    for n in (2_000, 20_000, 100_000):
+        assert model.predict("".join(np.random.default_rng(n).choice(letters, n)))[2], n
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
