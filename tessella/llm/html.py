@@ -52,6 +52,10 @@ _BAD_NAMES = regex.compile(
 )
 _GOOD_NAMES = regex.compile(r"^(?:article|content|entry|post|story|body|main|text|articlebody|postcontent|maincontent|prose)$")
 _NAME_PARTS = regex.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: Elements that hold the content by their role: names on them describe layout or state, not what they are.
+_HOLDERS = frozenset("body html main article".split())
+#: First parts of names that say what an element has or lacks.
+_STATES = frozenset("has no with without is".split())
 _ATTRIBUTE = regex.compile(r"""([a-zA-Z][\w:.-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _TAG = regex.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", regex.S)
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -82,6 +86,17 @@ class Block:
     parts: list = field(default_factory=list)
 
 
+def _described(value: str) -> list[str]:
+    """The names of a class or id, and their first and last parts, less those that describe a state or layout."""
+    out = []
+    for part in value.split():
+        for pieces in (_NAME_PARTS.split(part), _NAME_PARTS.split(part.lower())):
+            pieces = [w for w in pieces if w]
+            if pieces and pieces[0].lower() not in _STATES:
+                out += [part.lower(), pieces[0], pieces[-1]] if not any(w.lower() in ("with", "without") for w in pieces) else [pieces[0]]
+    return out
+
+
 def _hint(tag: str, attributes: str, outer: float) -> float:
     """The hint of an element, from its own names if they say something, else from around it."""
     own = TAG_HINTS.get(tag)
@@ -91,7 +106,7 @@ def _hint(tag: str, attributes: str, outer: float) -> float:
             if name in ("class", "id"):
                 names = [w for part in value.split() for w in (part.lower(), *_NAME_PARTS.split(part), *_NAME_PARTS.split(part.lower())) if w]
                 good = any(_GOOD_NAMES.match(w.lower()) for w in names)
-                bad = {w.lower() for w in names if _BAD_NAMES.match(w.lower())}
+                bad = {w.lower() for w in _described(value) if _BAD_NAMES.match(w.lower())} if tag not in _HOLDERS else set()
                 if bad and not (good and bad == {"header"}):  # the header of an article is its heading
                     return -12.0
                 if own is None and good:

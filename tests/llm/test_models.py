@@ -22,6 +22,12 @@ def documents(spark, d):
     return {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
 
 
+@pytest.mark.parametrize("opening", ["<body class='post has-sidebar'>", "<body class=no-sidebar>", "<body id=page class='nav-open'>", "<body><main class='has-comments'>", "<body><article class='share-enabled'>", "<body><div class='content has-sidebar'>", "<body><div class='content-with-sidebar'>", "<body><div class='hasSidebar'>"])
+def test_html_names_of_state_and_layout(opening):
+    text = "The whole article, in a long sentence of its own, with words enough to be read."
+    assert html.main_text(f"<html>{opening}<p>{text}</p><div class='site-nav'><p>Home</p></div><div class='sidebar'><p>More</p></div>") == text
+
+
 def test_language(spark):
     docs = documents(spark, SF)
     found = registry.op4_langid(spark, SF).collect()
