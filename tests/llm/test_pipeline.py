@@ -76,7 +76,7 @@ def test_pipeline(spark, tmp_path):
     assert {i for i, _ in rows if i < 900_000} & set(found) and {fold(i, 4) for i in found} == {0, 1, 2, 3}
     first, second = (kept.get(900_005), kept.get(900_006))
     assert passage in first and passage not in (second or "") and 900_007 not in found
-    assert len(passage.split()) >= linededup.MIN_WORDS
+    assert len(passage.split()) >= linededup.LONG_LINE
 
 
 def test_stages_keep_the_columns(spark):
