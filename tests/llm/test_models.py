@@ -160,6 +160,54 @@ def test_page_cases(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    # Neutral names: structure and text decide.
+    ("<div class=x1><div class=x2><a href=/>Home</a><a href=/b>About us</a></div><div class=x3><h1>A title of some words</h1><p>The first paragraph has a number of words that make a sentence.</p><p>Yes.</p>"
+     "<p>Another paragraph with enough words to be seen as text by everyone.</p></div><div class=x4><p>&copy; 2024 Some company</p></div></div>",
+     "A title of some words\nThe first paragraph has a number of words that make a sentence.\nYes.\nAnother paragraph with enough words to be seen as text by everyone."),
+    # A bad name alone does not outweigh a text of the article.
+    ("<article><p>one two three four five six seven eight nine ten.</p><p class='message'>a message of some length, which is text of the article.</p><p>eleven more words to come after it in the article here.</p></article>",
+     "one two three four five six seven eight nine ten.\na message of some length, which is text of the article.\neleven more words to come after it in the article here."),
+    # Broken markup loses no text and shows no code.
+    ("<p>start of text is here.</p><button>go <p>the rest of it is here too, with words.", "start of text is here.\ngo\nthe rest of it is here too, with words."),
+    ("<p>shown text of some words, long enough.</p><select><p>the rest of it is here too, with words.", "shown text of some words, long enough.\nthe rest of it is here too, with words."),
+    ("<p>A text of some words, which ends in a broken <a href=\"x>link", "A text of some words, which ends in a broken link"),
+    ("<script src='x'/><p>shown text of some words, long enough to be read.</p>", "shown text of some words, long enough to be read."),
+    ("<script src='x'/>var code = 1;</script><p>shown text of some words, long enough to be read.</p>", "shown text of some words, long enough to be read."),
+    ("<svg><svg><text>a</text></svg><text>b</text></svg><p>shown text of some words, long enough to be read.</p>", "shown text of some words, long enough to be read."),
+])
+def test_page_evidence(page, text):
+    assert html.main_text(page) == text
+
+
+def test_smoothness_decides(spark):
+    """Without smoothness edges blocks of real pages change sides, and only for the worse."""
+    import re
+
+    changed = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        page = html.parse(r.html)
+        with_edges, alone = html.label(page), html.label(page, 0.0)
+        if with_edges != alone:
+            changed += 1
+            inside = [b.text for b in html.parse(re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]).blocks]
+            assert [b.text for b, c in zip(page.blocks, with_edges, strict=True) if c] == inside
+            assert [b.text for b, c in zip(page.blocks, alone, strict=True) if c] != inside
+    assert changed
+
+
+def test_deep_page_is_linear():
+    import time
+
+    def seconds(n):
+        page, start = "</i>".join(f"<div>t{k} </b>" for k in range(n)), time.perf_counter()
+        html.main_text(page)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(16000) < 40 * max(0.05, seconds(1000))
+
+
 def test_minimum_cut_against_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(60):
