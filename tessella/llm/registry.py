@@ -92,8 +92,7 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import lm
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = lm.fit(docs.where(~_held_out(5, 1)))
-    scores = lm.score(docs, model, ["doc_id"])
+    scores = lm.score(docs, ~_held_out(5, 1), ["doc_id"])
     return scores.select("doc_id", _held_out(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -3,8 +3,11 @@
 import collections
 import math
 import zlib
+from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,57 +245,174 @@ def test_lm_query(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold(r.doc_id, 5) == 1, len(words), sum(w in counts for w in words), n)
         assert math.isclose(r.base_score, base, rel_tol=1e-9)
     held = [r for r in found if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-
-
-def test_lm_is_a_distribution(spark):
-    """In every context the tokens' probabilities and the unknown's add up to one."""
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "b a b b", "c cc bc a", "", "a a a a a a a a"] * 4)], "doc_id long, text string")
-    model = lm.fit(docs)
-    totals = model.totals
-    rows = lm._predictive(model).collect()
-    unknown = (totals.back_off() * totals.unknown()[:, None]).mean(axis=0)
-    for context in (lm.START, ord("a"), ord("b"), ord("c"), ord("z")):
-        total = unknown[context]
-        for r in rows:
-            have = dict(zip(r.contexts, np.frombuffer(r.p, "<f4").tolist(), strict=True))
-            total += have.get(context, float((totals.back_off()[:, context] * np.frombuffer(r.root, "<f8")).mean()))
-        assert abs(total - 1) < 1e-5
-
-
-def test_seating_keeps_customers():
-    n = np.array([1, 2, 3, 10, 100, 5000])
-    seating = lm.Seating(n, np.arange(6, dtype=np.uint64) * np.uint64(977), 0.7)
-    for _ in range(30):
-        seating.sweep(np.full(6, 0.01), np.full(6, 50.0), 4)
-        for rows, sizes in seating.groups:
-            assert (sizes.sum(axis=1) == n[rows]).all() and ((sizes > 0).sum(axis=1) == seating.tables[rows]).all()
-    assert seating.tables[0] == 1
-
-
-def test_gibbs_reaches_the_posterior():
-    """Two customers of one dish share a table with the odds that the model gives."""
-    k, d, p = 20000, 0.5, 0.2
-    seating = lm.Seating(np.full(k, 2), np.random.default_rng(5).integers(0, 1 << 63, k).astype(np.uint64), d)
-    others = 10.0
-    for _ in range(20):
-        seating.sweep(np.full(k, p), seating.tables + others, 1)
-    # Together: 1 - d.  Apart: (strength + d * (tables without the leaver)) * p.
-    apart = (lm.STRENGTH + d * (1 + others)) * p
-    assert abs((seating.tables == 2).mean() - apart / (apart + 1 - d)) < 0.02
+    tokens = sum(r.n_tokens for r in held)
+    assert sum(r.score - r.base_score for r in held) / tokens > math.log10(2)  # at most half the base's perplexity
+
+
+def slow_model(texts, burn_in, samples):
+    """One bucket and one part, without Spark: {(context id, token id): probability} and the totals."""
+    numbers, starts, own = lm._Numbers(), [], []
+    for text in texts:
+        starts.append(len(own))
+        own += [numbers[w] for w in [*text.encode().split(), lm.END]]
+    asks = pa.Table.from_batches(lm._block_rows(numbers, starts, np.array(own), np.ones(len(texts), bool), 0, lm.Shape(1, 1), lm._PLAIN))
+    shape, totals, sampled, kinds = lm.Shape(1, 1), lm.Totals(), [], lambda x, *k: x.filter(pc.is_in(x.column("_kind"), pa.array(k, pa.int32())))
+    told = lambda x: [d for *_, d in lm._data(x, lm._TOTAL)]
+    held = lm._merge(asks, shape)
+    lm._add_contexts(told(held), totals, True)
+    parent = lm._seat_words(kinds(held, lm._WORDS), held, totals, 0, False)
+    lm._add_parent(told(parent), totals, True)
+    seats, answers = held, parent
+    for sweep in range(1, burn_in + samples + 1):
+        seats = lm._reseat(seats, lm._as_seated(answers, totals, sweep), totals, shape, sweep, sweep > burn_in)
+        lm._add_contexts(told(seats), totals, False)
+        parent = lm._seat_words(kinds(parent, lm._MODEL), seats, totals, sweep, sweep > burn_in)
+        lm._add_parent(told(parent), totals, False)
+        answers = parent
+        if sweep > burn_in:
+            sampled.append(replace(totals))
+    words = lm._answer_words(parent, held)
+    model = lm._data(held, lm._MODEL)[0][-1]
+    p, u, _ = lm.pair_probabilities(model, lm._data(seats, lm._SEATS)[0][-1], [d for *_, d in lm._data(words, lm._PARENT)], sampled)
+    names = {lm._word_id(w): w.decode() for w in numbers} | {lm.START_ID: ""}
+    return {(names[int(model[0][i])], names[int(model[2][j])]): x for i, j, x in zip(u, model[3], p, strict=True)}, totals
+
+
+def gibbs_by_customer(texts, d, d0, strength, sweeps, seed):
+    """The same model, one customer after another, with all tables kept; probabilities of the pairs seen, averaged over sweeps."""
+    rng = np.random.default_rng(seed)
+    customers = [(a, b) for t in texts for a, b in zip(["", *t.split()], [*t.split(), "\n"])]
+    vocabulary = {b for _, b in customers}
+    base = 1 / (len(vocabulary) + 1)
+    rest, root = collections.defaultdict(list), []  # tables: [dish, customers]
+
+    def parent_p(w):
+        n, t = sum(k for _, k in root), len(root)
+        return (sum(k - d0 for x, k in root if x == w) + (strength + d0 * t) * base) / (strength + n)
+
+    def sit(tables, w, discount, p):
+        at = [k for k, x in enumerate(tables) if x[0] == w]
+        weights = np.array([*(tables[k][1] - discount for k in at), (strength + discount * len(tables)) * p])
+        k = rng.choice(len(weights), p=weights / weights.sum())
+        if k < len(at):
+            tables[at[k]][1] += 1
+            return False
+        tables.append([w, 1])
+        return True
+
+    def leave(tables, w):
+        at = [k for k, x in enumerate(tables) if x[0] == w]
+        weights = np.array([tables[k][1] for k in at])
+        k = at[rng.choice(len(at), p=weights / weights.sum())]
+        tables[k][1] -= 1
+        if not tables[k][1]:
+            del tables[k]
+            return True
+        return False
+
+    total = collections.Counter()
+    for sweep in range(sweeps + 20):
+        for a, b in customers:
+            if sweep and leave(rest[a], b):
+                leave(root, b)
+            if sit(rest[a], b, d, parent_p(b)):
+                sit(root, b, d0, base)
+        if sweep >= 20:
+            for a, b in set(customers):
+                n, t = sum(k for _, k in rest[a]), len(rest[a])
+                total[a, b] += (sum(k - d for x, k in rest[a] if x == b) + (strength + d * t) * parent_p(b)) / (strength + n) / sweeps
+    return total
+
+
+TINY = ["a b a b a c", "a b b a b", "c a b c c", "", "b a a b a b a b"] * 3
+
+
+def test_lm_against_a_sampler_of_single_customers():
+    found, totals = slow_model(TINY, 20, 400)
+    expected = gibbs_by_customer(TINY, totals.discount, totals.root_discount, lm.STRENGTH, 400, 1)
+    assert set(found) == {k if k[1] != "\n" else k for k in expected}
+    for k, p in expected.items():
+        assert abs(found[k] - p) < 0.01 + 0.03 * p, k
+
+
+def test_lm_is_a_distribution():
+    """In every context the probabilities of all tokens and of the unknown add up to one."""
+    every = [f"{a} {b}" for a in "abc" for b in "abc"] + list("abc") + [""]
+    found, totals = slow_model([*TINY, *every, *every], 3, 2)  # every pair of words occurs
+    unknown_root = (lm.STRENGTH + totals.root_discount * totals.tables) / (totals.vocabulary + 1) / (lm.STRENGTH + totals.customers)
+    sums = collections.Counter()
+    for (a, _), p in found.items():
+        sums[a] += p
+    assert all(0.97 < x < 1 for x in sums.values())  # the rest is the unknown's: its share of the back-off
+    assert all(1 - x < unknown_root * 4 for x in sums.values())
+
+
+@pytest.mark.parametrize("discount", [0.1, 0.5, 0.75, 0.95])
+def test_stirling_numbers(discount):
+    """Recursion against enumerated seatings, and the forms for large counts against the recursion."""
+    exact = lm.stirling(600, discount)
+    for c in range(1, 7):
+        by_tables = collections.Counter()
+
+        def seat(k, sizes, weight, c=c, by_tables=by_tables):
+            if k == c:
+                by_tables[len(sizes)] += weight
+                return
+            for i, n in enumerate(sizes):
+                seat(k + 1, [*sizes[:i], n + 1, *sizes[i + 1 :]], weight * (n - discount))
+            seat(k + 1, [*sizes, 1], weight)
+
+        seat(0, [], 1.0)
+        assert np.allclose(np.exp(exact[c, 1 : c + 1]), [by_tables[t] for t in range(1, c + 1)])
+    t = np.arange(1, 601, dtype=float)
+    off = np.abs(lm.stirling_large(np.array([600.0]), t[None, :], discount)[0] - exact[600, 1:])
+    assert off[t <= 600**discount].max() < 1e-3 and off.max() < 0.35 and off.mean() < 0.03
+
+
+@pytest.mark.parametrize(("c", "p", "others"), [(2, 0.2, 10), (7, 0.05, 300), (150, 0.01, 3000), (500, 0.001, 40), (500, 0.02, 9000)])
+def test_draws_are_from_the_conditional(c, p, others):
+    d, n = 0.7, 20000
+    t = np.arange(1, c + 1)
+    logs = lm.stirling(c, d)[c, 1:] + t * math.log(p) + np.r_[0, np.cumsum(np.log(lm.STRENGTH + d * (others + t[:-1])))]
+    exact = np.exp(logs - logs.max())
+    exact /= exact.sum()
+    drawn = lm.Draw(d)(np.full(n, c), np.full(n, p), np.full(n, float(others)), np.random.default_rng(2).random(n))
+    mean = (exact * t).sum()
+    sd = math.sqrt((exact * t * t).sum() - mean**2)
+    assert abs(drawn.mean() - mean) < 0.02 * mean + 4 * sd / math.sqrt(n) and abs(drawn.std() - sd) < 0.05 * sd + 0.02
+
+
+def test_lm_layout_changes_nothing(spark):
+    """Many blocks, buckets and split contexts give the scores of one."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    one = {r.doc_id: r for r in lm.score(docs, F.col("doc_id") % 5 != 1, ["doc_id"]).collect()}
+    shape = lm._shape(docs, "text", 3000, 4000)
+    assert shape.buckets > 4 and shape.split
+    many = lm.score(docs.repartition(3), F.col("doc_id") % 5 != 1, ["doc_id"], block_tokens=3000, bucket_tokens=4000).collect()
+    assert len(many) == len(one)
+    for r in many:
+        assert math.isclose(r.score, one[r.doc_id].score, rel_tol=1e-9) and math.isclose(r.base_score, one[r.doc_id].base_score, rel_tol=1e-9)
+        assert tuple(r)[1:4] == tuple(one[r.doc_id])[1:4]
+
+
+def test_lm_words_of_context_help(spark):
+    """Held-out texts are likelier than under the parent alone, that is with all contexts held out."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found = lm.perplexity(lm.score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1, ["doc_id"]).where(F.crc32(F.col("doc_id").cast("string")) % 5 == 1)).first()
+    assert found.perplexity < 0.5 * found.base_perplexity
 
 
 def test_lm_edges(spark):
     rows = [(None, None, 1), (1, "", 2), (1, "", 2), (2, "new words", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, c int")
-    none = lm.fit(df.limit(0))
-    found = lm.score(df, none, ["doc_id"]).collect()
+    found = lm.score(df, F.lit(False), ["doc_id"]).collect()
     assert len(found) == 4 and all(r.train_tokens == 0 and r.n_known == 0 and r.score == 0 for r in found)
-    model = lm.fit(df)
-    found = lm.score(df, model, ["doc_id"], block_chars=3).collect()
-    assert sorted(r.n_tokens for r in found) == [1, 1, 1, 3] and all(r.score < 0 for r in found)
-    assert lm.score(df.limit(0), model, ["doc_id"]).count() == 0
-    assert lm.perplexity(lm.score(df, model, ["doc_id"])).first().perplexity > 1
+    found = lm.score(df, F.lit(True), ["doc_id", "c"], block_tokens=2).collect()
+    assert sorted(r.n_tokens for r in found) == [1, 1, 1, 3] and all(r.score < 0 for r in found) and sorted(r.c for r in found) == [1, 2, 2, 3]
+    assert lm.score(df.limit(0), F.lit(True), ["doc_id"]).count() == 0
+    assert lm.perplexity(lm.score(df, F.col("doc_id").isNotNull(), ["doc_id"])).first().perplexity > 1
+    long = spark.createDataFrame([(1, "w " * 20000), (2, "w w w")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in lm.score(long, F.col("doc_id") == 1, ["doc_id"]).collect()) == [(1, 20001, 20001), (2, 4, 4)]
 
 
 def test_clashing_columns(spark):
@@ -310,4 +430,5 @@ def test_clashing_columns(spark):
     assert linededup.remove_repeats(docs).columns == [*docs.columns, "n_chunks_removed", "n_words_removed"]
     assert simhash.deduplicate(docs).columns == docs.columns and simhash.deduplicate(docs).count() == 2
     named = docs.withColumn("_text", F.lit("t")).withColumn("_block", F.lit(1))
-    assert lm.score(named, lm.fit(named), ["doc_id", "_text", "_block", "score"]).count() == 2
+    scored = lm.score(named, F.lit(True), ["doc_id", "_text", "_block", "score"])
+    assert scored.columns == ["doc_id", "_text", "_block", "n_tokens", "n_known", "train_tokens", "base_score", "score"] and scored.count() == 2
