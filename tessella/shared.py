@@ -8,14 +8,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of our own, by application: on one machine only.
+_OWN: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir`` of the session, or the checkpoint folder of its context.
+
+    Where neither is set, a temporary folder on a single machine (``local``
+    masters, as in tests); on a cluster, whose executors could not read it, an error.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tessella-")
-        sc.setCheckpointDir(folder)
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _OWN.setdefault(sc.applicationId, _OWN.get(sc.applicationId) or tempfile.mkdtemp(prefix="tessella-"))
     return folder.rstrip("/")
 
 
@@ -30,6 +38,6 @@ def _delete(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/tessella-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
