@@ -5,9 +5,9 @@ with under ``MIN_WORDS`` words, or if over half of them stand in a 3-word
 window that the text holds twice or more.
 
 The method's verdict is a logistic regression over hashed words, neighbouring
-words, words that repeat the one before, and character n-grams (their shares of all features of the text),
-trained on a bounded sample of labelled rows: about ``SAMPLE_PER_LABEL`` of
-each label, chosen by a hash of the id.  A quarter of the sample is kept back
+words and character n-grams (their shares of all features of the text), trained
+on a bounded sample of labelled rows: about ``SAMPLE_PER_LABEL`` of each label,
+chosen by a hash of the id.  A quarter of the sample is kept back
 and calibrates the output to probabilities (Platt's two-parameter fit), which
 meet a fixed threshold.  Scoring runs in Arrow batches.
 
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label_col: str = "quali
 
 
 def apply(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The columns ``keep`` of ``docs``, the base counts, base_failed, score and kept, which replace columns of their names."""
+    """The columns ``keep`` of ``docs``, the base counts, base_failed, kept and score, which replace columns of their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS numbers
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     keep = without(keep, [*names, "base_failed", "score", "kept"])
@@ -153,9 +153,9 @@ def apply(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                 z[i] += (total.real + two) / (total.imag + len(words) - 1)
             failed = (rows[:, 0] < MIN_WORDS) | (100 * rows[:, 4] > MAX_REPEAT_PERCENT * rows[:, 0])
             score = model.probability(z)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(rows[:, k]) for k in range(5)), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))], [*keep, *names, "base_failed", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(rows[:, k]) for k in range(5)), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)], [*keep, *names, "base_failed", "kept", "score"])
 
-    schema = extend(docs.select(*keep).schema, ", ".join(f"{n} long" for n in names) + ", base_failed boolean, score double, kept boolean")
+    schema = extend(docs.select(*keep).schema, ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, score double")
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
 
 
