@@ -7,9 +7,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.shared import cut, shared_folder
+from tessella.shared import cut, cut_by, shared_folder
 
-__all__ = ["cut", "extend", "free_name", "shared_folder", "split_bucket", "text_batches", "text_bytes", "without"]
+__all__ = ["cut", "cut_by", "extend", "free_name", "shared_folder", "split_bucket", "text_batches", "text_bytes", "without"]
 
 #: Rows of whole texts in one Arrow batch.  A batch is held in a Python worker,
 #: so it has to stay small when some texts are very long.

@@ -50,11 +50,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import cut, free_name, text_bytes, without
+from tessella.llm.common import cut, cut_by, free_name, text_bytes, without
 
 #: Tokens of a block, and of a bucket: about; the largest units that a task holds.
-BLOCK_TOKENS = 3_000_000
-BUCKET_TOKENS = 6_000_000
+BLOCK_TOKENS = 2_000_000
+BUCKET_TOKENS = 4_000_000
 
 #: Texts, about, on which it is decided which contexts are split over buckets.
 LAYOUT_TEXTS = 20_000
@@ -80,24 +80,31 @@ _CODEC = "zstd"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes; whole numbers in the fewest bytes that hold them."""
+    """Arrays as compressed bytes: ascending ones by their steps, whole numbers in the fewest bytes that hold them, lowest bytes of all first."""
     parts = [len(arrays).to_bytes(4, "little")]
     for a in arrays:
-        if a.dtype.kind in "iu" and a.dtype.itemsize > 1 and len(a):
+        steps = False
+        if a.dtype.kind in "iu" and len(a):
+            first, last = int(a[0]), int(a[-1])
+            steps = 0 <= first <= last and bool((a[1:] >= a[:-1]).all())
+            if steps:
+                a = np.diff(a.astype(np.uint64), prepend=np.uint64(0))
             a = a.astype(np.min_scalar_type(int(a.max())) if int(a.min()) >= 0 else np.int64)
-        raw = np.ascontiguousarray(a).tobytes()
+        a = np.ascontiguousarray(a)
+        raw = (a.view(np.uint8).reshape(len(a), a.itemsize).T if a.itemsize > 1 else a).tobytes()
         small = pa.compress(raw, codec=_CODEC, asbytes=True) if raw else b""
-        parts += [a.dtype.str.encode().ljust(4), len(raw).to_bytes(8, "little"), len(small).to_bytes(8, "little"), small]
+        parts += [a.dtype.str.encode().ljust(4), bytes([steps]), len(raw).to_bytes(8, "little"), len(small).to_bytes(8, "little"), small]
     return b"".join(parts)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     out, at = [], 4
     for _ in range(int.from_bytes(data[:4], "little")):
-        dtype, size, small = np.dtype(data[at : at + 4].decode().strip()), int.from_bytes(data[at + 4 : at + 12], "little"), int.from_bytes(data[at + 12 : at + 20], "little")
-        at += 20
-        raw = pa.decompress(data[at : at + small], decompressed_size=size, codec=_CODEC, asbytes=True) if size else b""
-        out.append(np.frombuffer(raw, dtype))
+        dtype, steps, size, small = np.dtype(data[at : at + 4].decode().strip()), data[at + 4], int.from_bytes(data[at + 5 : at + 13], "little"), int.from_bytes(data[at + 13 : at + 21], "little")
+        at += 21
+        raw = np.frombuffer(pa.decompress(data[at : at + small], decompressed_size=size, codec=_CODEC, asbytes=True) if size else b"", np.uint8)
+        a = np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).view(dtype).ravel() if size else np.zeros(0, dtype)
+        out.append(np.cumsum(a.astype(np.uint64), dtype=np.uint64) if steps else a)
         at += small
     return out
 
@@ -289,12 +296,16 @@ class Shape:
     parts: int
     split: dict[int, int] = field(default_factory=dict)
 
-    def bucket(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        out = ((u >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
-        for context, over in self.split.items():  # a few contexts a bucket
-            at = np.flatnonzero(u == np.uint64(context))
-            if len(at):
-                out[at] = (out[at] + ((w[at] >> np.uint64(8)) % np.uint64(over)).astype(np.int64)) % self.buckets
+    def bucket(self, ids: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The bucket of (context, token) pairs, given by their places in ``ids``."""
+        home = ((ids >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int32)
+        out = home[u]
+        over = np.ones(len(ids), dtype=np.int32)
+        for context in np.flatnonzero(np.isin(ids, np.array(list(self.split), dtype=np.uint64))).tolist():
+            over[context] = self.split[int(ids[context])]
+        at = np.flatnonzero(over[u] > 1)
+        spread = (ids >> np.uint64(8)).astype(np.uint32)
+        out[at] = (out[at] + spread[w[at]] % over[u[at]]) % self.buckets
         return out
 
     def bounds(self) -> np.ndarray:
@@ -373,20 +384,24 @@ def _block_rows(numbers: _Numbers, starts: list[int], own: np.ndarray, learn: np
     """The messages of a block to all buckets that its contexts live in."""
     ids = np.fromiter(map(_word_id, numbers), dtype=np.uint64, count=len(numbers))
     order = np.argsort(ids, kind="stable")
-    rank = np.empty(len(ids), dtype=np.int64)
-    rank[order] = np.arange(len(ids))
+    rank = np.empty(len(ids), dtype=np.int32)
+    rank[order] = np.arange(len(ids), dtype=np.int32)
     first = np.array(starts, dtype=np.int64)
-    text = np.repeat(np.arange(len(first), dtype=np.int64), np.diff(np.r_[first, len(own)]))
+    text = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.r_[first, len(own)]))
     w = rank[own]
     u = np.empty_like(w)
     u[1:] = w[:-1]
     u[first] = len(ids)  # the start, whose id is put after all others
     by_rank = np.r_[ids[order], np.uint64(START_ID)]
-    key = np.argsort((u << 32) | w, kind="stable")
-    u, w, text = u[key], w[key], text[key]
-    bucket = shape.bucket(by_rank[u], by_rank[w])
-    by_bucket = np.argsort(bucket, kind="stable")
-    u, w, text, bucket = u[by_bucket], w[by_bucket], text[by_bucket], bucket[by_bucket]
+    bucket = shape.bucket(by_rank, u, w)
+    key = u.astype(np.int64)
+    key <<= 32
+    key |= w
+    at = np.argsort(key, kind="stable")
+    del key
+    at = at[np.argsort(bucket[at], kind="stable")]
+    u, w, text, bucket = u[at], w[at], text[at], bucket[at]
+    del at
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist()
     for a, b in zip(cuts, [*cuts[1:], len(u)], strict=True):
         runs = np.flatnonzero(np.r_[True, u[a + 1 : b] != u[a : b - 1]])
@@ -561,7 +576,7 @@ def _seat_words(state: pa.Table, messages: pa.Table, totals: Totals, sweep: int,
         drawn = np.minimum(n, 1)
     seated = n - totals.root_discount * drawn
     if sampled:
-        samples = [*samples, seated]
+        samples = [*samples, n, drawn]
     rows = [(_MODEL, -1, part, None, None, pack(words, single, drawn, *samples))]
     rows += [(_PARENT, b, part, None, None, pack(np.stack([n[k], drawn[k]]).ravel() if not sweep else seated[k])) for (b, _), k in zip(told, places, strict=True)]
     rows.append((_TOTAL, -1, part, None, None, pack(np.array([n.sum(), drawn.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum()]))))
@@ -569,7 +584,7 @@ def _seat_words(state: pa.Table, messages: pa.Table, totals: Totals, sweep: int,
 
 
 def _answer_words(state: pa.Table, asked: pa.Table) -> pa.Table:
-    """By bucket and part: for all its words, the seated customers of every sample."""
+    """By bucket and part: for all its words, customers and tables of every sample."""
     held = _data(state, _MODEL)
     rows = []
     if held:
@@ -577,7 +592,7 @@ def _answer_words(state: pa.Table, asked: pa.Table) -> pa.Table:
         part = state.column("_part")[0].as_py()
         for b, (own, _) in _data(asked, _WORDS, "_bucket"):
             at = np.searchsorted(words, own)
-            rows.append((_PARENT, b, part, None, None, pack(*(s[at].astype(np.float64) for s in samples))))
+            rows.append((_PARENT, b, part, None, None, pack(*(s[at] for s in samples))))
     return _rows(rows, _PLAIN)
 
 
@@ -605,7 +620,7 @@ def pair_probabilities(model: list[np.ndarray], seats: list[np.ndarray] | None,
             all_tables[in_seats] = seats[8 + s].astype(np.int64)
         places, values = _lookup(contexts, known.split, 1)
         all_tables[places] = values
-        seated = np.concatenate([x[s] for x in parents])
+        seated = np.concatenate([x[2 * s].astype(np.float64) - known.root_discount * x[2 * s + 1].astype(np.float64) for x in parents])
         p += ((STRENGTH + known.discount * all_tables) / (STRENGTH + customers))[u] * known.parent(seated)[w] / len(totals)
     return p, u, customers
 
@@ -685,7 +700,7 @@ def score(docs: DataFrame, learn: Column, keep: list[str], text_col: str = "text
     kept = [T.StructField(f.name, f.dataType) for f in named.select(*inner).schema.fields]  # null in messages
     wide = T.StructType([*kept, T.StructField(n_tokens, T.LongType()), *T.StructType.fromDDL(_ROW).fields])
     kind = F.col("_kind")
-    held = cut(_messages(named, inner, text, learned, shape, block_tokens, wide).groupBy("_bucket").applyInArrow(lambda t: _merge(t, shape), wide))
+    held = cut_by(_messages(named, inner, text, learned, shape, block_tokens, wide).groupBy("_bucket").applyInArrow(lambda t: _merge(t, shape), wide), "_bucket", shape.buckets)
     plain = held.select(*_PLAIN.names)
     totals = Totals()
     _add_contexts(_told(plain), totals, first=True)
