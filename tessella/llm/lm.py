@@ -83,11 +83,11 @@ def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as compressed bytes: ascending ones by their steps, whole numbers in the fewest bytes that hold them, lowest bytes of all first."""
     parts = [len(arrays).to_bytes(4, "little")]
     for a in arrays:
-        steps = False
-        if a.dtype.kind in "iu" and len(a):
+        steps = 0
+        if a.dtype.kind in "iu" and a.dtype.itemsize > 1 and len(a):
             first, last = int(a[0]), int(a[-1])
-            steps = 0 <= first <= last and bool((a[1:] >= a[:-1]).all())
-            if steps:
+            if 0 <= first <= last and bool((a[1:] >= a[:-1]).all()):
+                steps = 2 if a.dtype == np.uint64 else 1
                 a = np.diff(a.astype(np.uint64), prepend=np.uint64(0))
             a = a.astype(np.min_scalar_type(int(a.max())) if int(a.min()) >= 0 else np.int64)
         a = np.ascontiguousarray(a)
@@ -104,7 +104,7 @@ def unpack(data: bytes) -> list[np.ndarray]:
         at += 21
         raw = np.frombuffer(pa.decompress(data[at : at + small], decompressed_size=size, codec=_CODEC, asbytes=True) if size else b"", np.uint8)
         a = np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).view(dtype).ravel() if size else np.zeros(0, dtype)
-        out.append(np.cumsum(a.astype(np.uint64), dtype=np.uint64) if steps else a)
+        out.append(np.cumsum(a, dtype=np.uint64).astype((None, np.int64, np.uint64)[steps]) if steps else a)
         at += small
     return out
 
