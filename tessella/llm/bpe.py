@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessella.llm.common import text_bytes
+from tessella.llm.common import slices, text_bytes, without
 
 #: The published word pattern of byte-level BPE.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -132,18 +132,18 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
     A column of ``docs`` named ``ids_col`` is replaced.
     """
-    kept = [f for f in docs.schema.fields if f.name != ids_col]
+    kept = [docs.schema[n] for n in without(docs.columns, [ids_col])]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [bpe.encode(t) if t else b"" for t in batch.column(text_col).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.ListArray.from_arrays(offsets, values)], [*names, ids_col])
 
-    return docs.select(*_distinct(names)).mapInArrow(run, T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return docs.select(*_distinct([*names, text_col])).mapInArrow(run, T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -152,16 +152,16 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
     Bytes that are not UTF-8 (ids cut in the middle of a character) become
     U+FFFD, as in the usual decoders.
     """
-    kept = [f for f in tokens.schema.fields if f.name != text_col]
+    kept = [tokens.schema[n] for n in without(tokens.columns, [text_col])]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [bpe.decode(np.array(x or [], dtype="<u4").tobytes()).decode("utf-8", "replace") for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, text_col])
 
-    return tokens.select(*_distinct(names)).mapInArrow(run, T.StructType([*kept, T.StructField(text_col, T.StringType())]))
+    return tokens.select(*_distinct([*names, ids_col])).mapInArrow(run, T.StructType([*kept, T.StructField(text_col, T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +173,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches):
             n, of_ids, of_text = [], [], []
             for raw in text_bytes(batch, text_col):
                 ids = bpe.encode(raw.decode()) if raw else b""

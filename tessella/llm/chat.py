@@ -4,7 +4,8 @@ The turns of a conversation are cut into windows of whole turns.  Prefix sums
 of the turns' tokens choose the spans: a window takes new turns while they,
 the leading system turns and the repeated history fit ``budget`` tokens; the
 next window repeats the leading system turns (those within half the budget)
-and as many of the last turns as fit ``history`` tokens.  Assistant texts are the targets; the loss mask covers
+and as many of the last turns as fit ``history`` tokens; the marks at both ends
+of a window count too.  Assistant texts are the targets; the loss mask covers
 each once, in the window where it is new, and never its repetition.  A turn
 that alone exceeds the budget gets a window without history.
 
@@ -13,8 +14,9 @@ for system, user and assistant turns, ``[ROLE name] text [/ROLE]`` for others,
 one after another between ``<s>`` and ``</s>``.  A control string inside a text
 gets one more back-slash in front than it has; reading back takes it away.
 
-The turns of one conversation are read in order by one task, which holds no
-more of them than a window does, however long the conversation is.  Null texts
+Tokens are counted where the turns lie; only the sums and windows of one
+conversation are made in order by one task, which holds no more of its turns
+than a window does, however long the conversation is.  Null texts
 and roles are empty; null conversation ids form one conversation; equal turn
 numbers go by role and text; repeated rows are repeated turns.
 """
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import extend
+from tessella.llm.common import extend, free_name
 
 BUDGET = 2048
 HISTORY = 512
@@ -66,8 +68,9 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(_NAMES.get(m[1]) or unquote(m[1][5:]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-def windows(turns: Iterator[tuple[str, str]], count: Callable[[str], int], budget: int, history: int) -> Iterator[dict]:
-    """The windows of one conversation, from its turns in order."""
+def windows(turns: Iterator[tuple[str, str, int]], ends: int, budget: int, history: int) -> Iterator[dict]:
+    """The windows of one conversation, from its turns (role, text, tokens when formatted) in order; ``ends``: tokens of the marks around a window."""
+    given, budget = budget, budget - ends
     system: list[tuple] = []  # (role, rendered, tokens)
     past: list[tuple] = []  # turns before the window that may be repeated
     new: list[tuple] = []
@@ -88,13 +91,12 @@ def windows(turns: Iterator[tuple[str, str]], count: Callable[[str], int], budge
             if role == "assistant" and i >= len(repeated):
                 loss.append({"start": len(text) + a, "end": len(text) + b})
             text += body
-        n = sum(t[2] for t in (*repeated, *new))
-        return {"window": number, "text": text + "</s>", "n_tokens": n, "n_repeated": len(repeated), "loss": loss, "over_budget": n > budget}
+        n = ends + sum(t[2] for t in (*repeated, *new))
+        return {"window": number, "text": text + "</s>", "n_tokens": n, "n_repeated": len(repeated), "loss": loss, "over_budget": n > given}
 
     used = 0
-    for role, text in turns:
-        body = render(role, text)
-        turn = (role, body, count(body[0]))
+    for role, text, tokens in turns:
+        turn = (role, render(role, text), tokens)
         if opening and role == "system" and sum(t[2] for t in system) + turn[2] <= budget // 2:
             system.append(turn)
         else:
@@ -124,13 +126,24 @@ def format_windows(turns: DataFrame, count: Callable[[], Callable[[str], int]],
 
     key_type = _arrow_type(turns, conv_col)
 
+    named = [conv_col, turn_col, role_col, text_col]
+    size = free_name(named, "_tokens")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = count()
+        for batch in batches:
+            n = [counter(render(role or "", text or "")[0]) for role, text in zip(batch.column(role_col).to_pylist(), batch.column(text_col).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, size])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = count()
-        for part in _batched(_all_windows(_rows(batches), counter, budget, history), 64):
+        ends = counter("<s>") + counter("</s>")
+        for part in _batched(_all_windows(_rows(batches), ends, budget, history), 64):
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], key_type), *(pa.array([p[1][n] for p in part], t) for n, t in _ARROW)], [conv_col, *(n for n, _ in _ARROW)])
 
-    ordered = turns.select(conv_col, turn_col, role_col, text_col).repartition(conv_col).sortWithinPartitions(conv_col, turn_col, role_col, text_col)
-    return ordered.select(conv_col, F.coalesce(role_col, F.lit("")), F.coalesce(text_col, F.lit(""))).mapInArrow(run, schema)
+    with_size = turns.select(named).mapInArrow(counted, extend(turns.select(named).schema, f"`{size}` long"))
+    ordered = with_size.repartition(conv_col).sortWithinPartitions(*named)
+    return ordered.select(conv_col, F.coalesce(role_col, F.lit("")), F.coalesce(text_col, F.lit("")), size).mapInArrow(run, schema)
 
 
 _ARROW = [("window", pa.int32()), ("text", pa.string()), ("n_tokens", pa.int64()), ("n_repeated", pa.int32()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("over_budget", pa.bool_())]
@@ -180,9 +193,9 @@ def _grouped(rows: Iterator[tuple]) -> Iterator[tuple]:
         head = rest[0] if rest else None
 
 
-def _all_windows(rows: Iterator[tuple], counter: Callable[[str], int], budget: int, history: int) -> Iterator[tuple]:
+def _all_windows(rows: Iterator[tuple], ends: int, budget: int, history: int) -> Iterator[tuple]:
     for conv, turns in _grouped(rows):
-        for window in windows(((r[1], r[2]) for r in turns), counter, budget, history):
+        for window in windows((r[1:] for r in turns), ends, budget, history):
             yield conv, window
 
 

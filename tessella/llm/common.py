@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.shared import cut, cut_by, shared_folder
 
-__all__ = ["cut", "cut_by", "extend", "free_name", "shared_folder", "split_bucket", "text_batches", "text_bytes", "without"]
+__all__ = ["cut", "cut_by", "extend", "free_name", "shared_folder", "slices", "split_bucket", "text_bytes", "without"]
 
-#: Rows of whole texts in one Arrow batch.  A batch is held in a Python worker,
-#: so it has to stay small when some texts are very long.
-TEXT_ROWS_PER_BATCH = 256
+#: Whole texts that a task works on at a time.  Spark bounds Arrow batches by
+#: their bytes; what Python makes of them is bounded by this.
+TEXTS_AT_ONCE = 256
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small enough for a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXTS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def split_bucket(doc_id: str, parts: int):

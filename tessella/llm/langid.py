@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import extend, without
+from tessella.llm.common import extend, slices, without
 
 BUCKETS = 1 << 14
 GRAMS = (1, 2, 3)
@@ -117,7 +117,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BUCKETS, dtype=np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 at, _ = vector(text, None)
                 df[at] += 1
@@ -177,7 +177,7 @@ def _sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str, counts:
         return b"".join(np.uint32(len(a)).tobytes() + a.astype(np.uint16).tobytes() + w.astype(np.float32).tobytes() for a, w in pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             packed = []
             for text in batch.column(1).to_pylist():
                 words = text.split()
@@ -205,7 +205,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             lang, score, out = zip(*map(model.predict, batch.column(text_col).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [*kept, *new])
 
@@ -219,7 +219,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([not model.predict(t)[2] for t in batch.column(text_col).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

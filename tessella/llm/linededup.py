@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import cut, free_name, text_bytes, without
+from tessella.llm.common import cut, free_name, slices, text_bytes, without
 
 #: A line of so many words is a passage of its own.
 LONG_LINE = 50
@@ -93,7 +93,7 @@ def _pair_keys(docs: DataFrame, id_col: str, text_col: str, long_line: int | Non
     schema = T.StructType([docs.schema[id_col], *T.StructType.fromDDL("k1 long, k2 long, at int, again boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, found, at, again = [], [np.empty((0, 2), np.int64)], [np.empty(0, np.int32)], []
             for r, text in enumerate(text_bytes(batch, text_col)):
                 lines, which = seen_lines(text) if text else ([], [])
@@ -118,7 +118,7 @@ def _marked_bytes(marked: DataFrame, text_col: str, column: str) -> DataFrame:
     """(k1, k2, run): the bytes of each marked pair or long line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found: dict[tuple[int, int, bytes], None] = {}
             for text, marks in zip(text_bytes(batch, text_col), batch.column(column).to_pylist(), strict=True):
                 if text:
@@ -165,7 +165,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     leaving = F.filter(column, lambda m: m["goes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [without_chunks(text, marks) if text and marks else (text, 0, 0) for text, marks in zip(text_bytes(batch, text_col), batch.column(column).to_pylist(), strict=True)]
             texts, gone, words = zip(*out, strict=True) if out else ((), (), ())
             cols = {c: batch.column(c) for c in own} | {text_col: pa.array(texts, pa.binary()).cast(pa.string())}

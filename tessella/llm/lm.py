@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import cut, cut_by, free_name, text_bytes, without
+from tessella.llm.common import cut, cut_by, free_name, slices, text_bytes, without
 
 #: Tokens of a block, and of a bucket: about; the largest units that a task holds.
 BLOCK_TOKENS = 2_000_000
@@ -359,7 +359,7 @@ def _shape(docs: DataFrame, text_col: str, block_tokens: int, bucket_tokens: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text in text_bytes(batch, text_col):
                 for w in text.lower().split() if text else ():
                     words[w] = words.get(w, 0) + 1
@@ -419,7 +419,7 @@ def _messages(docs: DataFrame, keep: list[str], text_col: str, learn_col: str, s
         numbers, starts, parts, learned, n = _Numbers(), [], [], [], 0
         arrow: pa.Schema | None = None
         block = (part << 24) | blocks
-        for batch in batches:
+        for batch in slices(batches):
             if arrow is None:
                 arrow = pa.schema([*(pa.field(c, batch.schema.field(c).type) for c in keep), pa.field(n_tokens, pa.int64()), *_PLAIN])
             texts, at = [], []

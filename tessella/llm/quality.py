@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from tessella.llm import subwords
-from tessella.llm.common import extend, text_bytes, without
+from tessella.llm.common import extend, slices, text_bytes, without
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
@@ -82,7 +82,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         words = _cache(model)
-        for batch in batches:
+        for batch in slices(batches):
             logits = np.full(batch.num_rows, model.offset)
             for i, text in enumerate(text_bytes(batch, text_col)):
                 if text and (total := words.total(text.split())):

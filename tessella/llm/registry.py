@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import split_bucket, text_batches
+from tessella.llm.common import split_bucket
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -111,21 +110,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: A window of 13 tokens with two substitutions, or of 8 to 12 with one, holds
 #: four equal tokens in a row, so all candidates share such a run: this SQL
-#: finds what the seeds must find, in another way.
+#: finds what the seeds must find, in another way; shorter items match whole.
 _OP10_SQL = r"""
 WITH lowered AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE doc_id IS NOT NULL),
 have AS (SELECT doc_id, list_filter(string_split_regex(t, '[ \t-\r]+'), lambda x: x <> '') AS h FROM lowered),
 want AS (
   SELECT * FROM (SELECT DISTINCT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS w FROM benchmark)
-  WHERE len(w) >= 8),
+  WHERE len(w) > 0),
 hg AS (SELECT doc_id, i, h[i] || ' ' || h[i + 1] || ' ' || h[i + 2] || ' ' || h[i + 3] AS g FROM (SELECT doc_id, h, unnest(range(1, len(h) - 2)) AS i FROM have)),
-wg AS (SELECT item_id, j, w[j] || ' ' || w[j + 1] || ' ' || w[j + 2] || ' ' || w[j + 3] AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS j FROM want)),
+wg AS (SELECT item_id, j, w[j] || ' ' || w[j + 1] || ' ' || w[j + 2] || ' ' || w[j + 3] AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS j FROM want WHERE len(w) >= 8)),
 pairs AS (SELECT DISTINCT doc_id, item_id, i - j AS d FROM hg JOIN wg USING (g)),
 marks AS (
   SELECT doc_id, item_id, d, len(w) AS n, least(len(w), 13) AS k,
          list_transform(range(1, len(w) + 1), lambda j: CASE WHEN j + d >= 1 AND j + d <= len(h) AND h[j + d] = w[j] THEN 1 ELSE 0 END) AS m
-  FROM pairs JOIN have USING (doc_id) JOIN want USING (item_id)),
+  FROM pairs JOIN have USING (doc_id) JOIN want USING (item_id) WHERE len(w) >= 8),
 scored AS (
   SELECT doc_id, item_id, d, n, k, list_sum(m) AS total,
          list_max(list_transform(range(1, n - k + 2), lambda s: list_sum(m[s:s + k - 1]))) AS best
@@ -133,6 +132,10 @@ scored AS (
 kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY total DESC, greatest(d, 0), n DESC) AS r FROM scored WHERE best >= k - least(2, (n * 2) // 13))
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_tokens, CAST(total AS BIGINT) AS n_matched, CAST(greatest(d, 0) AS BIGINT) AS first_token
 FROM kept WHERE r = 1
+UNION ALL
+SELECT doc_id, item_id, CAST(len(w) AS BIGINT), CAST(len(w) AS BIGINT), CAST(min(i) - 1 AS BIGINT)
+FROM (SELECT doc_id, h, unnest(range(1, len(h) + 1)) AS i FROM have) JOIN (SELECT * FROM want WHERE len(w) < 8) ON h[i] = w[1] AND list_slice(h, i, i + len(w) - 1) = w
+GROUP BY doc_id, item_id, w
 """
 
 ORACLES: dict[str, str] = {"op10_decontaminate": _OP10_SQL}

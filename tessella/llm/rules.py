@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from tessella.llm import subwords
-from tessella.llm.common import extend, text_bytes, without
+from tessella.llm.common import extend, slices, text_bytes, without
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -138,7 +138,7 @@ def apply(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         cache, weights = _cache(model), model.weights
-        for batch in batches:
+        for batch in slices(batches):
             rows = np.zeros((batch.num_rows, 5), dtype=np.int64)
             z = np.full(batch.num_rows, model.bias)
             for i, text in enumerate(text_bytes(batch, text_col)):

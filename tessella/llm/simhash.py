@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import cut, text_bytes
+from tessella.llm.common import cut, free_name, slices, text_bytes
 from tessella.llm.components import connected_components
 
 #: Longest posting list that is compared pair by pair inside a task.
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t, shingle) if t else 0 for t in text_bytes(batch, text_col)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fps.view(np.int64))], [id_col, "fp"])
 
@@ -136,8 +136,21 @@ def _postings(rows: DataFrame, level: int, parent: Column | None = None) -> Data
     return finer.select("slot", fp.bitwiseAND(F.get(masks, F.col("slot"))).alias("bits"), "fp", "node")
 
 
-def forest(fps: np.ndarray, max_bits: int = MAX_BITS, min_shared: int = MIN_SHARED) -> list[tuple[int, int]]:
-    """Edges (index, index) that connect what is linked among the fingerprints of one list."""
+def shared_bytes(front: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """[front, others]: the tally of positional bytes that each pair of fingerprints shares."""
+    tally = np.zeros((len(front), len(others)), dtype=np.uint8)
+    for at in range(8):
+        shift = np.uint64(8 * at)
+        tally += (front >> shift).astype(np.uint8)[:, None] == (others >> shift).astype(np.uint8)[None, :]
+    return tally
+
+
+def forest(fps: np.ndarray, max_bits: int = MAX_BITS, min_shared: int = MIN_SHARED, seen: dict[str, int] | None = None) -> list[tuple[int, int]]:
+    """Edges (index, index) that connect what is linked among the fingerprints of one list.
+
+    Pairs are tallied first; the differing bits are counted of those alone
+    whose tally reaches ``min_shared``.  ``seen`` counts both steps.
+    """
     edges, left = [], np.arange(len(fps))
     while len(left) > 1:
         seed, left = left[0], left[1:]
@@ -145,9 +158,13 @@ def forest(fps: np.ndarray, max_bits: int = MAX_BITS, min_shared: int = MIN_SHAR
         while len(front) and len(left):
             hit = np.zeros(len(left), dtype=bool)
             for start in range(0, len(front), 64):
-                diff = fps[front[start : start + 64], None] ^ fps[left][None, :]
-                shared = (np.ascontiguousarray(diff).view(np.uint8).reshape(*diff.shape, 8) == 0).sum(axis=2, dtype=np.uint8)
-                hit |= ((shared >= min_shared) & (np.bitwise_count(diff) <= max_bits)).any(axis=0)
+                some = fps[front[start : start + 64]]
+                a, b = np.nonzero(shared_bytes(some, fps[left]) >= min_shared)
+                near = np.bitwise_count(some[a] ^ fps[left[b]]) <= max_bits
+                hit[b[near]] = True
+                if seen is not None:
+                    seen["tallied"] = seen.get("tallied", 0) + len(some) * len(left)
+                    seen["verified"] = seen.get("verified", 0) + len(a)
             front, left = left[hit], left[~hit]
             edges.extend((int(seed), int(i)) for i in front)
     return edges
@@ -207,6 +224,13 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, max_list: int = MAX_LIST)
         rows, level = postings.join(long.select("slot", "bits"), ["slot", "bits"], "left_semi").select("fp", "node", "slot"), level + 1
 
 
+def _classes(prints: DataFrame, id_col: str, max_bits: int) -> DataFrame:
+    """(fp, component_id) of every fingerprint; ``prints`` is a written table."""
+    nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("node")))
+    roots = connected_components(links(nodes.where(F.col("node").isNotNull()), max_bits))
+    return nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     """Per document: (id, fingerprint as 16 hex digits, component_id).
 
@@ -214,20 +238,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     differing bits reach, itself included.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("node")))
-    edges = links(nodes.where(F.col("node").isNotNull()), max_bits)
-    roots = connected_components(edges)
-    classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(classes, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(_classes(prints, id_col, max_bits), "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each group: that with the smallest id.  Rows without an id are kept.
 
-    Repeated rows of one id are all kept: they are one document.
+    Rows leave by id and text: of an id with two texts only that goes which
+    has its like at a smaller id, and repeated rows of what stays all stay.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    leavers = groups.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return docs.join(leavers, id_col, "left_anti").select(docs.columns)
+    digest = free_name([*docs.columns, "fp", "component_id"], "_digest")
+    texts = docs.select(id_col, text_col, F.xxhash64(text_col).alias(digest))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            fps = np.array([fingerprint(t, shingle) if t else 0 for t in text_bytes(batch, text_col)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(digest), pa.array(fps.view(np.int64))], [id_col, digest, "fp"])
 
+    prints = cut(texts.mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField(digest, T.LongType()), T.StructField("fp", T.LongType())])))
+    leavers = prints.join(_classes(prints, id_col, max_bits), "fp").where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_leaver"), F.col(digest).alias("_text")).distinct()
+    return docs.join(leavers, (docs[id_col] == leavers["_leaver"]) & (F.xxhash64(docs[text_col]) == leavers["_text"]), "left_anti")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import text_bytes
+from tessella.llm.common import slices, text_bytes
 
 #: Distinct words whose summed weights a Python worker keeps; beyond it the memory starts anew.
 CACHED_WORDS = 300_000
@@ -85,7 +85,7 @@ def sample_counts(texts: DataFrame, buckets: int, shortest: int, longest: int, w
     """(label, buckets, shares) of a bounded sample, in an order that depends on its content alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [counts(t or b"", buckets, shortest, longest, with_pairs) for t in text_bytes(batch, "_text")]
             yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], ["label", "at", "share"])
 

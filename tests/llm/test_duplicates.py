@@ -255,7 +255,7 @@ def test_masks_find_every_overlap():
     def hit(good):
         return any(all(good[at + k] for k in m) for m in decontaminate.MASKS for at in range(len(good) - m[-1]))
 
-    for n in range(decontaminate.MIN_TOKENS, decontaminate.WINDOW + 1):
+    for n in range(decontaminate.EXACT_TOKENS, decontaminate.WINDOW + 1):
         allowed = min(2, n * decontaminate.MAX_SUBSTITUTIONS // decontaminate.WINDOW)
         for k in range(allowed + 1):
             for bad in combinations(range(n), k):
@@ -278,15 +278,51 @@ def test_leaks_with_substitutions(spark, monkeypatch, limit):
     item = [f"i{k}" for k in range(20)]
     swapped = [("X" if k in (3, 9) else w) for k, w in enumerate(item)]
     worse = [("X" if k % 4 == 0 else w) for k, w in enumerate(item)]
-    tests = spark.createDataFrame([(7, " ".join(item), "x"), (8, "too short", "x"), (9, None, "x"), (7, " ".join(item), "x")], "item_id long, text string, doc_id string")
+    tests = spark.createDataFrame([(7, " ".join(item), "x"), (8, "too short", "x"), (11, "b i0 I1", "x"), (9, None, "x"), (7, " ".join(item), "x")], "item_id long, text string, doc_id string")
     rows = [(1, "a b " + " ".join(item).upper() + " c"), (2, " ".join(swapped)), (3, " ".join(worse)), (4, None), (5, ""), (6, "clean " * 30), (None, " ".join(item)), (1, "a b " + " ".join(item).upper() + " c"), (10, " ".join(item[6:]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("text", "text")
     found = sorted(tuple(r) for r in decontaminate.leaks(docs, tests).collect())
-    assert found == [(1, 7, 20, 20, 2), (2, 7, 20, 18, 0), (10, 7, 20, 14, 0)]
+    assert found == [(1, 7, 20, 20, 2), (1, 11, 3, 3, 1), (2, 7, 20, 18, 0), (10, 7, 20, 14, 0)]
     assert sorted(r.doc_id or 0 for r in decontaminate.decontaminate(docs, tests).collect()) == [0, 3, 4, 5, 6]
     assert decontaminate.leaks(docs.limit(0), tests).count() == 0 and decontaminate.leaks(docs, tests.limit(0)).count() == 0
 
 
+def test_short_items_match_whole(spark, tmp_path):
+    """Items of one to seven tokens, in SQL and in the query."""
+    words = ["red", "green", "blue"]
+    rng = np.random.default_rng(7)
+    docs = [(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(40)]
+    items = [(k, " ".join(rng.choice(words, k))) for k in range(12)] + [(20, None), (21, "red green red")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    cols = ["doc_id", "item_id", "n_tokens", "n_matched", "first_token"]
+    expected = sorted(duck.sql(registry.ORACLES["op10_decontaminate"]).df()[cols].values.tolist())
+    found = sorted(map(list, registry.op10_decontaminate(spark, str(tmp_path)).select(cols).collect()))
+    assert found == expected and {r[1] for r in found} >= {1, 2, 3}
+
+
+def test_count_filter_comes_first():
+    """Of all pairs tallied only those with enough shared bytes have their bits counted, and some of them are dropped then."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    near = base[:20] ^ np.uint64(0b111)  # three bits in a byte
+    far = base[20:] ^ np.uint64(0xFF)  # eight bits in a byte: enough bytes, too many bits
+    seen = {}
+    edges = simhash.forest(np.concatenate([base, near, far]), seen=seen)
+    assert len(edges) == 20 and seen["tallied"] > 10 * seen["verified"] and seen["verified"] >= 40
+    assert (simhash.shared_bytes(base[:1], near[:1])[0, 0], simhash.shared_bytes(base[20:21], far[:1])[0, 0]) == (7, 7)
+
+
+def test_deduplicate_by_row(spark):
+    rows = [(1, "a b c d e", 0), (2, "a b c d e", 0), (2, "something else is written here", 1), (2, "something else is written here", 2), (None, "a b c d e", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    assert sorted(tuple(r)[2] for r in simhash.deduplicate(df).collect()) == [0, 1, 2, 3]
+    assert simhash.deduplicate(df).columns == df.columns
+
+
 def test_no_python_in_the_plan(spark):
     plan = registry.op10_decontaminate(spark, str(DATA))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

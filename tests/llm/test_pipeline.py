@@ -18,10 +18,10 @@ def slow_leaks(text, items):
     have = (text or "").encode().lower().split()
     for want in items:
         n = len(want)
-        if n < decontaminate.MIN_TOKENS or not have:
+        if not n or not have:
             continue
         width = min(n, decontaminate.WINDOW)
-        allowed = min(decontaminate.MAX_SUBSTITUTIONS, n * decontaminate.MAX_SUBSTITUTIONS // decontaminate.WINDOW)
+        allowed = 0 if n < decontaminate.EXACT_TOKENS else min(decontaminate.MAX_SUBSTITUTIONS, n * decontaminate.MAX_SUBSTITUTIONS // decontaminate.WINDOW)
         number = {w: i for i, w in enumerate(want)}
         want_ids = np.array([number[w] for w in want])
         ids = np.array([-1] * (n - 1) + [number.get(w, -1) for w in have] + [-1] * (n - 1))

@@ -68,7 +68,7 @@ pieces = st.lists(st.sampled_from(["[INST]", " [/INST]", "</s>", "<s>", "\\", "[
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant", "tool use", "", "a]b"]), pieces), max_size=12), st.integers(1, 30), st.integers(0, 20))
 def test_windows_read_back(turns, budget, history):
-    found = list(chat.windows(iter(turns), chat.word_counter(), budget, history))
+    found = list(chat.windows(((r, t, len(chat.render(r, t)[0].split())) for r, t in turns), 2, budget, history))
     back, loss = [], ""
     for w in found:
         parsed = chat.parse(w["text"])
@@ -94,7 +94,7 @@ def test_chat_query(spark):
 def test_chat_edges(spark):
     rows = [(None, 0, "user", None, 9), (None, None, None, "x", 9), (1, 0, "assistant", "b", 9), (1, 0, "assistant", "a", 9), (1, 0, "assistant", "a", 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, window int")
-    made = chat.format_windows(df, chat.word_counter, budget=4, history=2)
+    made = chat.format_windows(df, chat.word_counter, budget=6, history=2)
     found = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(made).collect()}
     assert found == {None: digest([("", "x"), ("user", "")]), 1: digest([("assistant", "a"), ("assistant", "a"), ("assistant", "b")])}
     assert chat.read_back(chat.format_windows(df.limit(0), chat.word_counter)).count() == 0
