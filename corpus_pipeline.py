@@ -12,13 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, decontaminate, langid, linededup, simhash
-from tessella.llm.common import shared_folder, split_bucket, text_batches
+from tessella.llm.common import shared_folder, split_bucket
 from tessella.llm.registry import table, tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in a language learned from those outside the held-out fold."""
-    text_batches(spark)
     held_out = F.coalesce(split_bucket("doc_id", 4) == 2, F.lit(False))
     model = langid.fit(docs.where(~held_out))
     return langid.keep_known(docs, model)
@@ -26,7 +25,6 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less their repeated chunks; those of which nothing is left go."""
-    text_batches(spark)
     cleaned = linededup.remove_repeats(docs)
     emptied = (F.col("n_chunks_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     cleaned = cleaned.where(~F.coalesce(emptied, F.lit(False)))
@@ -37,7 +35,6 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    text_batches(spark)
     return simhash.deduplicate(docs)
 
 
@@ -48,7 +45,6 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document left."""
-    text_batches(spark)
     return bpe.digests(docs, tokenizer_path())
 
 
