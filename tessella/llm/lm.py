@@ -53,8 +53,8 @@ from pyspark.sql import types as T
 from tessella.llm.common import cut, cut_by, free_name, slices, text_bytes, without
 
 #: Tokens of a block, and of a bucket: about; the largest units that a task holds.
-BLOCK_TOKENS = 2_000_000
-BUCKET_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_500_000
+BUCKET_TOKENS = 2_500_000
 
 #: Texts, about, on which it is decided which contexts are split over buckets.
 LAYOUT_TEXTS = 20_000
@@ -442,7 +442,6 @@ def _messages(docs: DataFrame, keep: list[str], text_col: str, learn_col: str, s
                 parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
                 n += len(words)
             yield pa.RecordBatch.from_arrays(_text_columns(batch, keep, batch.num_rows - len(at), texts, at, block, shape), schema=arrow)
-            parts = [np.concatenate(parts)] if parts else parts
         if starts:
             yield from _block_rows(numbers, starts, np.concatenate(parts), np.array(learned), block, shape, arrow)
 
@@ -482,10 +481,17 @@ def _merge(table: pa.Table, shape: Shape) -> pa.Table:
     for _, n_texts, (u, runs, w, at, text, learn) in asks:
         keys.append((np.repeat(np.searchsorted(contexts, u), runs) << 32) | np.searchsorted(words, w)[at])
         learned.append(np.unpackbits(learn, count=n_texts)[text])
-    pairs, number = np.unique(np.concatenate(keys), return_inverse=True)
+    key = np.concatenate(keys)
     del keys
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    pairs = key[new]
+    number = np.empty(len(key), dtype=np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    del key, order, new
     c = np.bincount(number, weights=np.concatenate(learned), minlength=len(pairs)).astype(np.int64)
-    u, w = pairs >> 32, pairs & 0xFFFFFFFF
+    u, w = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
     del pairs
     runs = np.bincount(u, minlength=len(contexts))
     rows = [(_MODEL, bucket, -1, None, None, pack(contexts, runs, words, w, c))]
@@ -493,7 +499,7 @@ def _merge(table: pa.Table, shape: Shape) -> pa.Table:
     for block, n_texts, (*_, text, _) in asks:
         own = number[start : start + len(text)]
         start += len(text)
-        rows.append((_ASK, bucket, -1, block, n_texts, pack(np.diff(own, prepend=0), text)))
+        rows.append((_ASK, bucket, -1, block, n_texts, pack(np.diff(own, prepend=np.int32(0)), text)))
     # Pairs of two customers and more have seatings to sample; the others sit alone.
     several = np.flatnonzero(c > 1)
     own_words, at = np.unique(w[several], return_inverse=True)
