@@ -450,7 +450,7 @@ def _messages(docs: DataFrame, keep: list[str], text_col: str, learn_col: str, s
 
 def _text_columns(batch: pa.RecordBatch, keep: list[str], first: int, lengths: list[int], at: list[int], block: int, shape: Shape) -> list[pa.Array]:
     k = len(at)
-    return [*(batch.column(c).slice(first, k) for c in keep), pa.array(lengths, pa.int64()), pa.array([_TEXT] * k, pa.int32()), pa.array([block % shape.buckets] * k, pa.int32()), pa.nulls(k, pa.int32()), pa.array([block] * k, pa.int64()), pa.array(at, pa.int32()), pa.nulls(k, pa.binary())]
+    return [*(batch.column(c).slice(first, k) for c in keep), pa.array(lengths, pa.int64()), pa.array([_TEXT] * k, pa.int32()), pa.array([(block ^ (block >> 24)) % shape.buckets] * k, pa.int32()), pa.nulls(k, pa.int32()), pa.array([block] * k, pa.int64()), pa.array(at, pa.int32()), pa.nulls(k, pa.binary())]
 
 
 # -- buckets -----------------------------------------------------------------------------------
