@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.shared import cut
@@ -42,3 +42,25 @@ def with_rank_in(df: DataFrame, key: str, *order: str, name: str = "rank") -> Da
     first = ordered.groupBy(F.col(key).alias("_key")).agg(F.min("_at").alias("_first"))
     joined = ordered.join(first, F.col(key).eqNullSafe(F.col("_key")))
     return joined.withColumn(name, F.col("_at") - F.col("_first")).drop("_at", "_key", "_first")
+
+
+def with_previous(df: DataFrame, key: str, *order: str, values: dict[str, str]) -> DataFrame:
+    """``df`` with values of the row before among those of its ``key``: new name -> column; null for the first.
+
+    Neighbours meet by their ordinals, so a hot key is spread over many tasks.
+    """
+    placed = with_ordinal(df, key, *order, name="_at")
+    before = placed.select((F.col("_at") + 1).alias("_at"), F.col(key).alias("_key"), *(F.col(c).alias(n) for n, c in values.items()))
+    joined = placed.join(before, "_at", "left")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return joined.select(*df.columns, *(F.when(same, F.col(n)).alias(n) for n in values))
+
+
+def with_running_max(df: DataFrame, key: str, *order: str, value: str, name: str, stretch: int = 100_000) -> DataFrame:
+    """``df`` with the greatest ``value`` of its ``key`` so far: in stretches of the order, each of which starts from those before."""
+    placed = with_ordinal(df, key, *order, name="_at").withColumn("_part", F.floor(F.col("_at") / stretch))
+    tops = placed.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_p")).agg(F.max(value).alias("_top"))
+    before = tops.withColumn("_before", F.max("_top").over(Window.partitionBy("_key").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
+    own = Window.partitionBy(key, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.withColumn("_own", F.max(value).over(own)).join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    return joined.select(*df.columns, F.greatest("_own", "_before").alias(name))

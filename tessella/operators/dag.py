@@ -7,9 +7,12 @@ whether it was empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.ordinal import with_previous
 from tessella.functions.patterns import compile_pattern
 from tessella.shared import cut
 
@@ -39,9 +42,23 @@ def edges_by_variable(nodes: DataFrame) -> DataFrame:
 
 def edges_by_order(nodes: DataFrame) -> DataFrame:
     """(src, dst): each step after the one before it in its workflow; numbers need not be consecutive."""
-    # A workflow's steps are a script's sections: few.
-    w = Window.partitionBy("workflow").orderBy("node_index")
-    return nodes.select(F.lag("node_id").over(w).alias("src"), F.col("node_id").alias("dst")).where(F.col("src").isNotNull())
+    rows = nodes.select("workflow", "node_index", "node_id")
+    return with_previous(rows, "workflow", "node_index", values={"_src": "node_id"}).select(F.col("_src").alias("src"), F.col("node_id").alias("dst")).where(F.col("src").isNotNull())
+
+
+def edges_of_undetermined(nodes: DataFrame) -> DataFrame:
+    """(src, dst): steps whose input is not known yet follow the step before, and every earlier step that changes a variable that they need.
+
+    ``nodes`` as in ``edges_by_variable``, with a boolean ``undetermined``.
+    """
+    waiting = nodes.where("undetermined").select(F.col("node_id").alias("dst"))
+    return edges_by_order(nodes).unionByName(edges_by_variable(nodes)).distinct().join(waiting, "dst", "left_semi").select("src", "dst")
+
+
+def variables_used(sections: DataFrame) -> DataFrame:
+    """(node_id, used_vars): all variables of a step: those it uses, those it reads from elsewhere and its parameters, sorted."""
+    every = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.coalesce(c, F.array().cast("array<string>")) for c in ("used", "accessed", "parameters"))))))
+    return sections.select("node_id", every.alias("used_vars"))
 
 
 def dangling(io: DataFrame, files: DataFrame) -> DataFrame:
@@ -56,9 +73,14 @@ def providers(wanted: DataFrame, exact: DataFrame, patterns: list[tuple[str, str
     """(target, step, bindings): who makes a target: an exact entry, else the first pattern that matches.
 
     ``exact``: (target, step); ``patterns``: (pattern, step) in order of
-    precedence.  Bindings are a map of wildcard values.
+    precedence.  Bindings are a map of wildcard values.  Two steps that make one
+    wanted target, and two steps of one pattern, are errors.
     """
-    found = wanted.select("target").distinct().join(exact.groupBy("target").agg(F.min("step").alias("_exact")), "target", "left")
+    if len({q for q, _ in patterns}) < len(set(patterns)):
+        raise ValueError("several steps provide the targets of one pattern")
+    known = exact.groupBy("target").agg(F.min("step").alias("_exact"), (F.min("step") != F.max("step")).alias("_several"))
+    found = wanted.select("target").distinct().join(known, "target", "left")
+    found = found.where(F.when(F.col("_several"), F.raise_error(F.concat(F.lit("several steps provide "), F.col("target"))).cast("boolean")).otherwise(F.lit(True)))
     step = F.when(F.col("_exact").isNotNull(), F.col("_exact"))
     bindings = F.when(F.col("_exact").isNotNull(), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     for pattern, name in patterns:
@@ -69,6 +91,44 @@ def providers(wanted: DataFrame, exact: DataFrame, patterns: list[tuple[str, str
     return found.select("target", step.alias("step"), bindings.alias("bindings")).where(F.col("step").isNotNull())
 
 
+def resolve(io: DataFrame, exact: DataFrame, patterns: list[tuple[str, str, list[str]]], files: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(io, unresolved): nodes added for targets that nobody makes, until none is added.
+
+    ``exact``: (target, step); ``patterns``: (pattern, step, inputs), whose
+    inputs are name patterns over the wildcards.  A target that exists and has
+    no provider needs no node; one that does neither is unresolved.  A node
+    that is added is called ``step|target``.  Each round is written and only
+    learns whether it was empty; its frontier is what the round before wanted.
+    """
+    needs = {step: inputs for _, step, inputs in patterns}
+    files = files.select("target").distinct()
+    wanted = cut(dangling(io, files).select("target"))
+    done, unresolved, rounds = io.select("node_id", "role", "target"), wanted.limit(0), 0
+    while not wanted.isEmpty():
+        rounds += 1
+        if rounds > most:
+            raise CycleError(f"targets still need others after {most} rounds")
+        found = cut(providers(wanted, exact, [(q, step) for q, step, _ in patterns]))
+        unresolved = unresolved.unionByName(wanted.join(found.select("target"), "target", "left_anti").join(files, "target", "left_anti"))
+        node = F.concat_ws("|", "step", "target")
+        new = found.select(node.alias("node_id"), F.lit("output").alias("role"), "target")
+        for step, inputs in needs.items():
+            for text in inputs:
+                made = expand_pattern(text, F.col("bindings"))
+                new = new.unionByName(found.where(F.col("step") == step).select(node.alias("node_id"), F.lit("input").alias("role"), made.alias("target")))
+        new = cut(new)
+        done = done.unionByName(new)
+        made = done.where("role = 'output'").select("target").distinct()
+        wanted = cut(new.where("role <> 'output'").select("target").distinct().join(made, "target", "left_anti").join(unresolved, "target", "left_anti"))
+    return done, unresolved
+
+
+def expand_pattern(text: str, bindings: Column) -> Column:
+    """A name pattern with the values of its wildcards from a map."""
+    parts = re.split(r"\{(\w+)\}", text)
+    return F.concat(*(F.lit(x) if i % 2 == 0 else F.coalesce(F.try_element_at(bindings, F.lit(x)), F.lit("")) for i, x in enumerate(parts)))
+
+
 def ready(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Pending nodes all of whose predecessors are completed; nodes have node_id and status."""
     open_ = nodes.where("status <> 'completed'").select(F.col("node_id").alias("src"))
@@ -86,22 +146,30 @@ def reachable(edges: DataFrame, start: DataFrame, backwards: bool = False) -> Da
         depth += 1
         front = cut(front.join(steps, "node_id").select(F.col("_next").alias("node_id")).distinct().join(seen, "node_id", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(front)
+        if depth % 8 == 0:  # what was seen stays a union of a few tables
+            seen = cut(seen)
     return seen
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, level): rounds of steps that can run together.  A circle raises ``CycleError``."""
-    left, arcs = cut(nodes.select("node_id").distinct()), cut(edges.select("src", "dst").distinct())
-    done, level = None, 0
-    while not left.isEmpty():
-        free = cut(left.join(arcs.select(F.col("dst").alias("node_id")), "node_id", "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
-            raise CycleError(f"{left.count()} steps depend on each other in a circle")
-        done = free if done is None else done.unionByName(free)
-        left = cut(left.join(free, "node_id", "left_anti"))
-        arcs = cut(arcs.join(free.select(F.col("node_id").alias("src")), "src", "left_anti"))
+    """(node_id, level): rounds of steps that can run together.  A circle raises ``CycleError``.
+
+    Every node keeps the number of its open predecessors; a round takes off
+    those of the last level, joined by its edges alone, and is written once.
+    """
+    arcs = cut(edges.select("src", "dst").distinct())
+    open_ = arcs.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("open"))
+    level = 0
+    state = cut(nodes.select("node_id").distinct().join(open_, "node_id", "left").select("node_id", F.coalesce("open", F.lit(0)).alias("open"), F.when(F.col("open").isNull(), 0).alias("level")))
+    while not state.where(F.col("level") == level).isEmpty():
+        closed = state.where(F.col("level") == level).select(F.col("node_id").alias("src")).join(arcs, "src").groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("_n"))
+        left = F.col("open") - F.coalesce("_n", F.lit(0))
         level += 1
-    return done if done is not None else nodes.select("node_id").withColumn("level", F.lit(0)).limit(0)
+        state = cut(state.join(closed, "node_id", "left").select("node_id", left.alias("open"), F.when(F.col("level").isNull() & (left == 0), level).otherwise(F.col("level")).alias("level")))
+    stuck = state.where("level IS NULL")
+    if not stuck.isEmpty():
+        raise CycleError(f"{stuck.count()} steps depend on each other in a circle")
+    return state.select("node_id", "level")
 
 
 def blocked(edges: DataFrame, failed: DataFrame) -> DataFrame:
@@ -109,6 +177,25 @@ def blocked(edges: DataFrame, failed: DataFrame) -> DataFrame:
     return reachable(edges, failed).where("depth > 0").select("node_id")
 
 
+def after_failure(nodes: DataFrame, edges: DataFrame, failed: DataFrame, mode: str = "default") -> DataFrame:
+    """(node_id, status): what becomes of nodes (node_id, status) once some have failed.
+
+    ``default``: what does not depend on a failed node goes on, the rest is
+    blocked; ``abort``: nothing that is not completed or running goes on;
+    ``ignore``: failed nodes count as completed and all the others go on.
+    """
+    if mode not in ("default", "abort", "ignore"):
+        raise ValueError(f"unknown error mode {mode!r}")
+    marked = nodes.join(failed.select("node_id").distinct().withColumn("_failed", F.lit(True)), "node_id", "left")
+    if mode == "ignore":
+        return marked.select("node_id", F.when(F.col("_failed"), "ignored").otherwise(F.col("status")).alias("status"))
+    own = F.when(F.col("_failed"), "failed")
+    if mode == "abort":
+        return marked.select("node_id", own.when(F.col("status") == "pending", "aborted").otherwise(F.col("status")).alias("status"))
+    held = blocked(edges, failed).distinct().withColumn("_held", F.lit(True))
+    return marked.join(held, "node_id", "left").select("node_id", own.when(F.col("_held") & (F.col("status") == "pending"), "blocked").otherwise(F.col("status")).alias("status"))
+
+
 def to_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Lines of a graph description with a colour for each status; a table, written like any other."""
     colour = F.create_map(*(F.lit(x) for kv in {"completed": "green", "failed": "red", "running": "yellow", "pending": "blue"}.items() for x in kv))

@@ -12,15 +12,24 @@ from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tessella.functions.ordinal import with_ordinal, with_rank_in
 
-#: Groups of combinations that are made at most.
-MAX_COMBINATIONS = 10_000_000
 
+def group(targets: DataFrame, mode: str | int | list[list[int]] | DataFrame | Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(members, groups) of a mode: single, all, a size, label, pairs[N], pairwise[N], combinations[K], pairlabel[N], lists of positions, or a function of idx.
 
-def group(targets: DataFrame, mode: str | int | Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """(members, groups) of a mode: single, all, a size, label, pairs[N], pairwise[N], combinations[K], pairlabel[N], or a function of idx."""
+    The function gives a group number, null for none, or an array of them for
+    targets that stand in several groups.  Lists of positions come as a table
+    (gid, pos, idx) or, a few of them, as Python lists; groups may overlap.
+    """
+    if isinstance(mode, DataFrame):
+        return by_lists(targets, mode)
+    if isinstance(mode, (list, tuple)):
+        rows = [(g, p, i) for g, positions in enumerate(mode) for p, i in enumerate(positions)]
+        members, _ = by_lists(targets, targets.sparkSession.createDataFrame(rows, "gid long, pos long, idx long"))
+        return members, _numbered(targets, len(mode))
     if callable(mode):
         return _by_function(targets, mode)
     if isinstance(mode, bool):
@@ -108,8 +117,8 @@ def combinations(targets: DataFrame, k: int = 2) -> tuple[DataFrame, DataFrame]:
     """All ``k``-subsets, numbered in lexicographic order of their positions."""
     n = targets.count()
     total = comb(n, k)
-    if total > MAX_COMBINATIONS:
-        raise ValueError(f"{total} combinations are more than {MAX_COMBINATIONS}")
+    if total >= 1 << 63:
+        raise ValueError(f"{total} combinations cannot be numbered by longs")
     rows = targets.select(F.array("idx").alias("c"))
     for i in range(1, k):
         last = F.element_at("c", -1)
@@ -144,9 +153,24 @@ def pairlabel(targets: DataFrame, size: int = 1) -> tuple[DataFrame, DataFrame]:
     return placed.join(before, "ord").select(F.col("gid").cast("long").alias("gid"), (F.col("before") + F.col("at")).cast("long").alias("pos"), "idx"), _numbered(targets, g)
 
 
+def by_lists(targets: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups from lists of positions (gid, pos, idx); a position that no target has is an error, found when the rows are read."""
+    n = targets.count()
+    out = (F.col("idx") < 0) | (F.col("idx") >= n)
+    checked = lists.select(F.col("gid").cast("long").alias("gid"), F.col("pos").cast("long").alias("pos"), F.col("idx").cast("long").alias("idx"))
+    checked = checked.where(F.when(F.coalesce(out, F.lit(True)), F.raise_error(F.concat(F.lit(f"no target of {n} has position "), F.coalesce(F.col("idx").cast("string"), F.lit("null")))).cast("boolean")).otherwise(F.lit(True)))
+    last = lists.agg(F.coalesce(F.max("gid"), F.lit(-1)), F.coalesce(F.min("gid"), F.lit(0))).first()
+    if last[1] < 0:
+        raise ValueError("group numbers start at 0")
+    return checked, _numbered(targets, last[0] + 1)
+
+
 def _by_function(targets: DataFrame, make: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """A function of the position gives each target's group number (null: none)."""
-    placed = targets.select("idx", make(F.col("idx")).cast("long").alias("gid")).where(F.col("gid").isNotNull())
+    """A function of the position gives each target's group number or numbers (null: none)."""
+    made = targets.select("idx", make(F.col("idx")).alias("gid"))
+    if isinstance(made.schema["gid"].dataType, ArrayType):
+        made = made.select("idx", F.explode("gid").alias("gid"))
+    placed = made.select("idx", F.col("gid").cast("long").alias("gid")).where(F.col("gid").isNotNull())
     n = placed.agg(F.coalesce(F.max("gid"), F.lit(-1)), F.coalesce(F.min("gid"), F.lit(0))).first()
     if n[1] < 0:
         raise ValueError("group numbers start at 0")

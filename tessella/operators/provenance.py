@@ -17,10 +17,25 @@ def signature_id(*parts: Column) -> Column:
     return F.md5(F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)))
 
 
-def signature_ids(io: DataFrame, body: str = "body") -> DataFrame:
-    """(step_id, sig_id) from rows (step_id, body, role, name): the names of each role in order."""
-    listed = io.groupBy("step_id", body).agg(*(F.concat_ws("\x1e", F.array_sort(F.collect_list(F.when(F.col("role") == r, F.col("name"))))).alias(r) for r in ("input", "output", "depends")))
-    return listed.select("step_id", signature_id(F.col(body), F.col("input"), F.col("output"), F.col("depends")).alias("sig_id"))
+def signature_ids(io: DataFrame, variables: DataFrame | None = None, body: str = "body") -> DataFrame:
+    """(step_id, sig_id) from rows (step_id, body, role, ord, name) and variables (step_id, var, value).
+
+    The names of each role count in their order, variables by their names.  A
+    row of the role ``index`` (its name the number of the loop group) makes
+    signatures of groups differ whose output is not known yet.
+    """
+    names = lambda r: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("ord", "name")))), lambda e: e["name"])
+    listed = io.groupBy("step_id", body).agg(*(F.array_join(names(r), "\x1e").alias(r) for r in ("input", "output", "depends", "index")))
+    if variables is None:
+        return listed.select("step_id", signature_id(F.col(body), F.col("input"), F.col("output"), F.col("depends"), F.lit(""), F.col("index")).alias("sig_id"))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("var", "value"))), lambda e: F.concat(e["var"], F.lit("="), F.coalesce(e["value"].cast("string"), F.lit(""))))
+    context = variables.groupBy("step_id").agg(F.array_join(pairs, "\x1e").alias("_vars"))
+    return listed.join(context, "step_id", "left").select("step_id", signature_id(F.col(body), F.col("input"), F.col("output"), F.col("depends"), F.col("_vars"), F.col("index")).alias("sig_id"))
+
+
+def groups_to_run(signatures: DataFrame, stored: DataFrame) -> DataFrame:
+    """(step_id, gid, sig_id) of loop groups without a stored signature: a loop that grew runs its new groups only."""
+    return signatures.join(stored.select("sig_id").distinct(), "sig_id", "left_anti").select("step_id", "gid", "sig_id")
 
 
 def file_state(size: Column, mtime: Column, md5: Column, stored_size: Column, stored_mtime: Column, stored_md5: Column, zapped: Column) -> Column:

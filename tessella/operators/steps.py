@@ -6,6 +6,7 @@ name or ``name_N`` with a number.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.ordinal import with_ordinal
+from tessella.functions.patterns import extract
 from tessella.operators.dag import edges_by_order
 from tessella.operators.ranges import named_like
 from tessella.operators.targets import TargetSet
@@ -41,12 +43,74 @@ def _outputs(outputs: DataFrame, order: list[str], attributes: list[str]) -> Tar
     return TargetSet(with_ordinal(rows, *(f"_{i}" for i in range(len(order)))).select("idx", "kind", "name", "label", *attributes))
 
 
-def output_from(outputs: DataFrame, steps: list[str], attributes: list[str] = ()) -> TargetSet:
-    """Outputs of steps, one step after the other as named, each in its order; labelled by step."""
+def _asked(outputs: DataFrame, steps: str | int | list, current: str | None) -> list[str]:
+    """Names of the steps asked for: numbers are steps of the current workflow, -1 the one before the current."""
+    out = []
+    for step in steps if isinstance(steps, (list, tuple)) else [steps]:
+        if isinstance(step, str):
+            out.append(step)
+            continue
+        m = re.fullmatch(_NUMBERED, current or "")
+        if isinstance(step, bool) or not m:
+            raise ValueError("a step by number needs a current step of the form name_N")
+        if step >= 0:
+            out.append(f"{m[1]}_{step}")
+            continue
+        if step != -1:
+            raise ValueError("of negative steps there is only -1, the one before")
+        own = outputs.select("step").where((step_name(F.col("step")) == m[1]) & (step_number(F.col("step")) < int(m[2])))
+        before = own.agg(F.max_by("step", step_number(F.col("step")))).first()[0]  # one row
+        if before is None:
+            raise ValueError(f"no step comes before {current}")
+        out.append(before)
+    return out
+
+
+def output_from(outputs: DataFrame, steps: str | int | list, attributes: list[str] = (), *, current: str | None = None, group_by: object = None, paired_with: dict | None = None, group_with: dict | None = None, for_each: list | dict | None = None, pattern: str | None = None, remove_empty_groups: bool = False) -> TargetSet:
+    """Outputs of steps, one step after the other as named, each in its order; labelled by step.
+
+    A step is a name, a number in the workflow of ``current``, or -1 for the
+    step before it.  The options then work on the collection as on any other:
+    pattern, paired_with, group_by, group_with, for_each, remove_empty_groups.
+    """
     spark = outputs.sparkSession
-    asked = spark.createDataFrame(list(enumerate(steps)), "_step_ord long, wanted string")
+    asked = spark.createDataFrame(list(enumerate(_asked(outputs, steps, current))), "_step_ord long, wanted string")
     found = resolve_steps(outputs.select("step").distinct(), asked.select("wanted").distinct()).join(asked, "wanted")
-    return _outputs(outputs.drop("label").join(found, "step").withColumn("label", F.col("step")), ["_step_ord", "ord"], list(attributes))
+    out = _outputs(outputs.drop("label").join(found, "step").withColumn("label", F.col("step")), ["_step_ord", "ord"], list(attributes))
+    for name, value in (extract(F.col("name"), pattern) if pattern else {}).items():
+        out = out.with_attribute(name, value)
+    for name, values in (paired_with or {}).items():
+        out = out.paired_with(name, values)
+    if group_by is not None:
+        out = out.group_by(group_by)
+    for name, values in (group_with or {}).items():
+        out = out.group_with(name, values)
+    if for_each is not None:
+        out = out.for_each(*(for_each if isinstance(for_each, list) else [for_each]))
+    return out.remove_empty_groups() if remove_empty_groups else out
+
+
+def collect_outputs(outputs: DataFrame, n_groups: int) -> TargetSet:
+    """Outputs of substeps (gid, ord, name) as one collection with a group each, the empty ones too; of a name that comes again only the first stays."""
+    rows = outputs.select("gid", F.col("ord").alias("pos"), F.lit("file").alias("kind"), "name", F.lit("").alias("label"))
+    numbered = with_ordinal(rows, "gid", "pos")
+    groups = outputs.sparkSession.range(n_groups).select(F.col("id").alias("gid"))
+    ts = TargetSet(numbered.select("idx", "kind", "name", "label"), numbered.select("gid", "pos", "idx"), groups)
+    return ts.first_of_name()
+
+
+def shared_values(values: DataFrame, names: dict[str, str]) -> DataFrame:
+    """One row: for each variable of substeps (gid, ...) its value in the last substep under the name given, and ``step_<name>``, the list over all substeps.
+
+    The list is what the contract of a shared variable is; it fits one row.
+    """
+    lists = [F.transform(F.array_sort(F.collect_list(F.struct("gid", F.col(v).alias("v")))), lambda e: e["v"]).alias(f"step_{n}") for v, n in names.items()]
+    return values.agg(*(F.max_by(v, "gid").alias(n) for v, n in names.items()), *lists)
+
+
+def shared_totals(values: DataFrame, names: list[str]) -> DataFrame:
+    """One row: sums of variables over all substeps, their number, and the last substep's values; nothing is listed."""
+    return values.agg(F.count("*").alias("n_substeps"), *(F.sum(v).alias(f"total_{v}") for v in names), *(F.max_by(v, "gid").alias(f"last_{v}") for v in names))
 
 
 def named_output(outputs: DataFrame, label: str) -> TargetSet:
@@ -104,9 +168,15 @@ def regenerate(nodes: DataFrame, io: DataFrame, lost: DataFrame) -> DataFrame:
 PREVIEWERS = (("*.csv", "csv"), ("*.xls*", "excel"), ("*.gz", "gz"), ("*.zip", "zip"), ("*.tar*", "tar"), ("*.txt", "text"), ("*.md", "markdown"), ("*.html", "html"), ("*.svg", "svg"), ("*.png", "image"), ("*.jpg", "image"), ("*.gif", "image"), ("*.pdf", "pdf"), ("*.dot", "dot"))
 
 
-def previewer(path: Column, default: str = "text") -> Column:
-    """The previewer of a path by its name."""
+#: Which previewer shows a file by how its content starts, where its name says nothing.
+BY_CONTENT = ((r"(?is)^\s*(<!doctype html|<html)", "html"), (r"(?s)^%PDF-", "pdf"), (r"(?s)^\s*(<\?xml[^>]*>\s*)?<svg", "svg"), (r"(?s)^\s*(di)?graph\s", "dot"))
+
+
+def previewer(path: Column, default: str = "text", content: Column | None = None) -> Column:
+    """The previewer of a path by its name, then by its content if that is given."""
     out = F.when(F.lit(False), "")
     for pattern, name in PREVIEWERS:
         out = out.when(named_like(path, pattern), name)
+    for pattern, name in BY_CONTENT if content is not None else ():
+        out = out.when(F.coalesce(content.rlike(pattern), F.lit(False)), name)
     return out.otherwise(default)

@@ -130,7 +130,7 @@ class TargetSet:
 
     # -- groups --------------------------------------------------------------------------------
 
-    def group_by(self, mode: str | int | None | Callable[[Column], Column]) -> TargetSet:
+    def group_by(self, mode: str | int | list[list[int]] | DataFrame | None | Callable[[Column], Column]) -> TargetSet:
         """Groups by a mode of ``grouping``; earlier groups go, except with ``auto``."""
         if mode == "auto":
             return self
@@ -275,6 +275,22 @@ class TargetSet:
         """Groups whose substep is skipped lose their members and stay as empty groups."""
         return replace(self, members=self.members.join(gids, "gid", "left_anti"))
 
+    def run_statements(self, values: DataFrame, *statements: tuple[str, Column]) -> DataFrame:
+        """(gid, ended, output): after which statement each group's substep ended (null: it ran on), and whether its output stays.
+
+        ``values``: (gid, ...) that the conditions read.  Statements in order:
+        ``done_if`` ends a substep and keeps its output, ``stop_if`` and
+        ``skip_if`` end it and drop the output; later statements do not see it.
+        """
+        ended, kept = F.lit(None).cast("int"), F.lit(True)
+        for i in range(len(statements) - 1, -1, -1):
+            kind, condition = statements[i]
+            if kind not in ("done_if", "stop_if", "skip_if"):
+                raise ValueError(f"unknown statement {kind!r}")
+            hit = F.coalesce(condition, F.lit(False))
+            ended, kept = F.when(hit, i).otherwise(ended), F.when(hit, kind == "done_if").otherwise(kept)
+        return self.groups.select("gid").join(values, "gid", "left").select("gid", ended.alias("ended"), kept.alias("output"))
+
     def listed(self) -> DataFrame:
         """(gid, pos, idx, name, label) of every member."""
         return self.members.join(self.targets.select("idx", "name", "label"), "idx").select("gid", "pos", "idx", "name", "label")

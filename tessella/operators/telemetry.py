@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.ordinal import with_ordinal, with_rank_in
+from tessella.functions.ordinal import with_ordinal, with_previous, with_rank_in, with_running_max
 
 #: Seconds without a pulse after which a task is taken for aborted, and a workflow for failed.
 TASK_EXPIRY, WORKFLOW_EXPIRY = 60, 120
@@ -19,8 +19,7 @@ def pulse_summary(pulses: DataFrame, task: str = "task_id", ts: str = "ts", cpu:
 
 def running_peak(pulses: DataFrame, task: str, order: list[str], value: str) -> DataFrame:
     """Each sample with the peak of its task so far."""
-    w = Window.partitionBy(task).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return pulses.withColumn("peak", F.max(value).over(w))
+    return with_running_max(pulses, task, *order, value=value, name="peak")
 
 
 def expired(pulses: DataFrame, now: Column, task: str = "task_id", ts: str = "ts", seconds: int = TASK_EXPIRY) -> DataFrame:
@@ -63,11 +62,24 @@ def resources(tasks: DataFrame, batch: str, walltime: str, mem: str, cores: str,
     return out.select(batch, checked.cast("bigint").alias("walltime"), F.col("mem").cast("bigint").alias("mem"), F.col("cores").cast("bigint").alias("cores"))
 
 
+def completion_totals(substeps: DataFrame, step: str, skipped: Column) -> DataFrame:
+    """One row: steps, and steps all, some and none of whose substeps were skipped, with completed and skipped substeps over all steps, and a sentence that says so."""
+    by_step = completion(substeps, step, skipped)
+    done, out = F.col("n_completed"), F.col("n_skipped")
+    totals = by_step.agg(
+        F.count("*").alias("n_steps"), F.count_if((done > 0) & (out == 0)).alias("n_run"), F.count_if((done > 0) & (out > 0)).alias("n_partial"), F.count_if((done == 0) & (out > 0)).alias("n_ignored"),
+        F.coalesce(F.sum(done), F.lit(0)).alias("n_completed"), F.coalesce(F.sum(out), F.lit(0)).alias("n_skipped"),
+    )
+    counted = lambda c, what: F.concat(F.col(c).cast("string"), F.lit(f" {what}"), F.when(F.col(c) == 1, "").otherwise("s"))
+    return totals.withColumn("said", F.concat(counted("n_steps", "step"), F.lit(" ("), counted("n_completed", "completed substep"), F.lit(", "), counted("n_skipped", "skipped substep"), F.lit(")")))
+
+
 def common_values(params: DataFrame, batch: str = "batch", member: str = "member", key: str = "key", value: str = "value") -> DataFrame:
-    """(batch, key, value) that all members of a batch share."""
-    size = params.groupBy(batch).agg(F.count_distinct(member).alias("_n"))
-    found = params.groupBy(batch, key).agg(F.count_distinct(member).alias("_have"), F.count_distinct(value).alias("_kinds"), F.count(value).alias("_set"), F.min(value).alias(value))
-    return found.join(size, batch).where("_have = _n and _kinds = 1 and _set >= _n").select(batch, key, value)
+    """(batch, key, value) that all members of a batch have, and with one value."""
+    own = params.groupBy(batch, member, key).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count_if(F.col(value).isNull()).alias("_nulls"))
+    size = own.select(batch, member).distinct().groupBy(batch).agg(F.count("*").alias("_n"))
+    found = own.groupBy(batch, key).agg(F.count("*").alias("_have"), F.min("_low").alias(value), F.max("_high").alias("_high"), F.sum("_nulls").alias("_nulls"))
+    return found.join(size, batch).where((F.col("_have") == F.col("_n")) & (F.col(value) == F.col("_high")) & (F.col("_nulls") == 0)).select(batch, key, value)
 
 
 def trunks(substeps: DataFrame, order: str, size: int, skipped: Column) -> DataFrame:
@@ -98,9 +110,8 @@ def duration(status: Column, now: Column, running: Column, modified: Column) ->
 
 def gaps(pulses: DataFrame, task: str, order: list[str], ts: str, seconds: int) -> DataFrame:
     """Pulses that follow the one before by more than ``seconds``."""
-    w = Window.partitionBy(task).orderBy(*order)
-    since = F.floor((F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / 1_000_000)
-    return pulses.withColumn("gap", since).where(F.col("gap") > seconds)
+    since = F.floor((F.unix_micros(ts) - F.unix_micros("_before")) / 1_000_000)
+    return with_previous(pulses, task, *order, values={"_before": ts}).withColumn("gap", since).drop("_before").where(F.col("gap") > seconds)
 
 
 def even_sample(rows: DataFrame, order: str, n: int) -> DataFrame:

@@ -95,7 +95,83 @@ def chained_steps(spark: SparkSession, d: str) -> DataFrame:
     return dag.edges_by_order(t.table(spark, d, "orders").select(F.col("o_custkey").alias("workflow"), F.col("o_orderkey").alias("node_id"), F.col("o_orderkey").alias("node_index")))
 
 
-@query(f"WITH {_IO}, {_EDGES}, k AS (SELECT DISTINCT node_id FROM io WHERE node_id SIMILAR TO '[rn].*') SELECT '\"' || node_id || '\" [color=green];' AS line FROM k UNION ALL SELECT '\"' || src || '\" -> \"' || dst || '\";' FROM e WHERE src SIMILAR TO '[rn].*' AND dst SIMILAR TO '[rn].*'")
+@query(f"WITH {_IO}, {_EDGES}, k AS (SELECT DISTINCT node_id FROM io) SELECT '\"' || node_id || '\" [color=green];' AS line FROM k UNION ALL SELECT '\"' || src || '\" -> \"' || dst || '\";' FROM e")
 def graph_lines(spark: SparkSession, d: str) -> DataFrame:
-    io = _io(spark, d).where(F.col("node_id").rlike("^[rn]"))
+    """A graph description of all nodes and edges."""
+    io = _io(spark, d)
     return dag.to_dot(io.select("node_id").distinct().withColumn("status", F.lit("completed")), dag.edges_by_target(io))
+
+
+@query("""WITH s AS (SELECT o_custkey AS wf, o_orderkey AS id, o_orderpriority AS v, o_orderkey % 3 = 0 AS u, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS src FROM orders)
+SELECT src, id AS dst FROM s WHERE u AND src IS NOT NULL UNION SELECT a.id, b.id FROM s a JOIN s b ON a.wf = b.wf AND a.id < b.id AND a.v = b.v WHERE b.u""")
+def undetermined_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Every third order is a step whose input is not known yet; the priority is a variable."""
+    key = F.col("o_orderkey")
+    nodes = t.table(spark, d, "orders").select(F.col("o_custkey").alias("workflow"), key.alias("node_id"), key.alias("node_index"), F.array("o_orderpriority").alias("changed_vars"), F.array("o_orderpriority").alias("used_vars"), (key % 3 == 0).alias("undetermined"))
+    return dag.edges_of_undetermined(nodes)
+
+
+@query("""WITH w AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0)
+SELECT 'want' || k AS node_id, 'input' AS role, 'b_' || k || '.idx' AS target FROM w
+UNION ALL SELECT 'index|b_' || k || '.idx', 'output', 'b_' || k || '.idx' FROM w UNION ALL SELECT 'index|b_' || k || '.idx', 'input', 'b_' || k || '.bam' FROM w
+UNION ALL SELECT 'align|b_' || k || '.bam', 'output', 'b_' || k || '.bam' FROM w UNION ALL SELECT 'align|b_' || k || '.bam', 'input', 'b_' || k || '.fq' FROM w""")
+def resolved_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Indexes are wanted, made from alignments, made from reads, which are there: two rounds add all nodes."""
+    io, files = _wanted(spark, d)
+    return dag.resolve(io, _no_exact(spark), [("{base}.idx", "index", ["{base}.bam"]), ("{base}.bam", "align", ["{base}.fq"])], files)[0]
+
+
+@query("SELECT 'b_' || o_orderkey || '.fq' AS target FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 5 = 0")
+def unresolved_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Reads that are not there and that no step makes."""
+    io, files = _wanted(spark, d)
+    lost = files.where(F.regexp_extract("target", r"_(\d+)", 1).cast("bigint") % 5 != 0)
+    return dag.resolve(io, _no_exact(spark), [("{base}.idx", "index", ["{base}.bam"]), ("{base}.bam", "align", ["{base}.fq"])], lost)[1]
+
+
+def _wanted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("o_orderkey").cast("string")
+    own = t.table(spark, d, "orders").where("o_orderkey % 2 = 0")
+    return own.select(F.concat(F.lit("want"), k).alias("node_id"), F.lit("input").alias("role"), F.concat(F.lit("b_"), k, F.lit(".idx")).alias("target")), own.select(F.concat(F.lit("b_"), k, F.lit(".fq")).alias("target"))
+
+
+def _no_exact(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "target string, step string")
+
+
+_AFTER = "SELECT 'r' || r_regionkey AS node_id, CASE WHEN r_regionkey = 1 THEN '{failed}' ELSE 'completed' END AS status FROM region UNION ALL SELECT 'n' || n_nationkey, {nation} FROM nation UNION ALL SELECT 'c' || c_custkey, {other} FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'o' || o_orderkey, {other} FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
+
+
+def _after(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    io = _io(spark, d)
+    nodes = io.select("node_id").distinct().withColumn("status", F.when(F.col("node_id").startswith("r"), "completed").otherwise("pending"))
+    return dag.after_failure(nodes, dag.edges_by_target(io), spark.createDataFrame([("r1",)], "node_id string"), mode)
+
+
+@query(_AFTER.format(failed="failed", nation="CASE WHEN n_regionkey = 1 THEN 'blocked' ELSE 'pending' END", other="CASE WHEN n_regionkey = 1 THEN 'blocked' ELSE 'pending' END"))
+def failure_default(spark: SparkSession, d: str) -> DataFrame:
+    """What does not depend on the failed region goes on."""
+    return _after(spark, d, "default")
+
+
+@query(_AFTER.format(failed="failed", nation="'aborted'", other="'aborted'"))
+def failure_abort(spark: SparkSession, d: str) -> DataFrame:
+    return _after(spark, d, "abort")
+
+
+@query(_AFTER.format(failed="ignored", nation="'pending'", other="'pending'"))
+def failure_ignore(spark: SparkSession, d: str) -> DataFrame:
+    return _after(spark, d, "ignore")
+
+
+@query("SELECT o_orderkey AS node_id, array_to_string(list_sort(list_distinct([o_orderpriority, 'common', o_orderstatus, 'common'])), ',') AS used_vars FROM orders")
+def variables_used(spark: SparkSession, d: str) -> DataFrame:
+    """All variables of a step, each once, sorted."""
+    o = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("node_id"), F.array("o_orderpriority", F.lit("common")).alias("used"), F.array("o_orderstatus").alias("accessed"), F.array(F.lit("common")).alias("parameters"))
+    return dag.variables_used(o).select("node_id", F.array_join("used_vars", ",").alias("used_vars"))
+
+
+@query("SELECT DISTINCT md5(CAST(o_custkey AS VARCHAR) || chr(31) || o_orderpriority) AS node_id FROM orders")
+def step_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Equal steps are one node."""
+    return dag.node_ids(t.table(spark, d, "orders").select("o_custkey", "o_orderpriority"), ["o_custkey", "o_orderpriority"]).select("node_id")

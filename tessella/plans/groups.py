@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.ordinal import with_ordinal, with_rank_in
+from tessella.operators import steps
 from tessella.operators.targets import TargetSet
 from tessella.plans import tables as t
 from tessella.plans.query import query
@@ -68,9 +70,9 @@ def group_pairwise_n(spark: SparkSession, d: str) -> DataFrame:
     return _members(t.parts(spark, d).group_by("pairwise4"))
 
 
-@query(f"WITH {t.NATIONS}, g AS (SELECT row_number() OVER (ORDER BY a.idx, b.idx) - 1 AS gid, a.idx AS i0, b.idx AS i1 FROM n a JOIN n b ON a.idx < b.idx) SELECT gid, CAST(0 AS BIGINT) AS pos, i0 AS idx FROM g UNION ALL SELECT gid, CAST(1 AS BIGINT), i1 FROM g")
+@query(f"WITH {t.SUPPLIERS}, g AS (SELECT row_number() OVER (ORDER BY a.idx, b.idx) - 1 AS gid, a.idx AS i0, b.idx AS i1 FROM s a JOIN s b ON a.idx < b.idx) SELECT gid, CAST(0 AS BIGINT) AS pos, i0 AS idx FROM g UNION ALL SELECT gid, CAST(1 AS BIGINT), i1 FROM g")
 def group_combinations2(spark: SparkSession, d: str) -> DataFrame:
-    return _members(t.nations(spark, d).group_by("combinations"))
+    return _members(t.suppliers(spark, d).group_by("combinations"))
 
 
 @query(f"""WITH {t.NATIONS}, g AS (SELECT row_number() OVER (ORDER BY a.idx, b.idx, c.idx) - 1 AS gid, [a.idx, b.idx, c.idx] AS l FROM n a JOIN n b ON a.idx < b.idx JOIN n c ON b.idx < c.idx)
@@ -100,16 +102,59 @@ def group_function(spark: SparkSession, d: str) -> DataFrame:
     return _members(t.customers(spark, d).group_by(lambda idx: F.when(idx % 5 != 4, idx % 3)))
 
 
-@query(f"WITH {t.PARTS} SELECT idx // 7 AS gid, idx, name, 'part-' || CAST(idx // 7 AS VARCHAR) || '.out' AS output FROM p WHERE idx % 7 = 0")
+@query(f"WITH {t.CUSTOMERS}, m AS (SELECT idx // 4 AS gid, idx FROM c UNION ALL SELECT idx // 4 - 1, idx FROM c WHERE idx % 4 = 0 AND idx >= 4) SELECT gid, row_number() OVER (PARTITION BY gid ORDER BY idx) - 1 AS pos, idx FROM m")
+def group_function_overlapping(spark: SparkSession, d: str) -> DataFrame:
+    """A function that gives several groups: fours that also hold the first of the next."""
+    own = lambda idx: F.floor(idx / 4)
+    return _members(t.customers(spark, d).group_by(lambda idx: F.when((idx % 4 == 0) & (idx >= 4), F.array(own(idx), own(idx) - 1)).otherwise(F.array(own(idx)))))
+
+
+@query(f"WITH {t.ORDERS}, l AS (SELECT o_custkey AS k, o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders), g AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS gid FROM (SELECT DISTINCT k FROM l)) SELECT gid, row_number() OVER (PARTITION BY gid ORDER BY idx DESC) - 1 AS pos, idx FROM l JOIN g USING (k)")
+def group_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of positions: the orders of each customer, last first."""
+    ts = t.orders(spark, d)
+    rows = ts.targets.select("idx", F.col("name").cast("bigint").alias("o_orderkey")).join(t.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    gids = with_ordinal(rows.select("o_custkey").distinct(), "o_custkey", name="gid")
+    ranked = with_rank_in(rows.select("o_custkey", "idx", (-F.col("idx")).alias("_back")), "o_custkey", "_back", name="pos")
+    return _members(ts.group_by(ranked.join(gids, "o_custkey").select("gid", "pos", "idx")))
+
+
+@query(f"WITH {t.PARTS}, o AS (SELECT idx // 7 AS gid, idx % 7 AS pos, 'size-' || CAST(p_size AS VARCHAR) AS name, idx FROM p), f AS (SELECT name, min(idx) AS idx FROM o GROUP BY 1) SELECT gid, row_number() OVER (PARTITION BY gid ORDER BY pos) - 1 AS pos, row_number() OVER (ORDER BY idx) - 1 AS idx, name FROM o JOIN f USING (name, idx)")
 def collect_outputs(spark: SparkSession, d: str) -> DataFrame:
-    """Each group of seven yields an output named after it; the outputs are one collection, a group each."""
-    heads = t.parts(spark, d).group_by(7).listed().where("pos = 0")
-    return heads.select("gid", "idx", "name", F.concat(F.lit("part-"), F.col("gid").cast("string"), F.lit(".out")).alias("output"))
+    """Each group of seven yields outputs by size; together they are one collection, a group each, in which a name counts once."""
+    ts = t.parts(spark, d).group_by(7)
+    made = ts.members.join(ts.targets, "idx").select("gid", F.col("pos").alias("ord"), F.concat(F.lit("size-"), F.col("p_size").cast("string")).alias("name"))
+    return steps.collect_outputs(made, ts.groups.count()).listed().select("gid", "pos", "idx", "name")
 
 
-@query(f"WITH {t.CUSTOMERS}, g AS (SELECT idx // 10 AS gid, sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS x FROM c GROUP BY 1) SELECT count(*) AS n_substeps, CAST(sum(x) AS BIGINT) AS total_cents, CAST(arg_max(x, gid) AS BIGINT) AS last_cents FROM g")
+@query(f"WITH {t.CUSTOMERS}, g AS (SELECT idx // 10 AS gid, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS x FROM c GROUP BY 1) SELECT count(*) AS n_substeps, CAST(sum(x) AS BIGINT) AS total_x, arg_max(x, gid) AS last_x FROM g")
 def shared_values(spark: SparkSession, d: str) -> DataFrame:
     """A value of each substep, summed over all, and that of the last substep."""
+    return steps.shared_totals(_cents(spark, d), ["x"])
+
+
+@query(f"WITH {t.CUSTOMERS}, g AS (SELECT idx // 10 AS gid, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS x FROM c GROUP BY 1) SELECT arg_max(x, gid) AS balance, string_agg(CAST(x AS VARCHAR), ',' ORDER BY gid) AS step_balance FROM g")
+def shared_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The values of all substeps in their order, under a name of its own."""
+    return steps.shared_values(_cents(spark, d), {"x": "balance"}).select("balance", F.array_join(F.col("step_balance").cast("array<string>"), ",").alias("step_balance"))
+
+
+def _cents(spark: SparkSession, d: str) -> DataFrame:
+    ts = t.customers(spark, d).group_by(10)
+    return ts.members.join(ts.targets.select("idx", "c_acctbal"), "idx").groupBy("gid").agg(F.sum(F.round(F.col("c_acctbal") * 100).cast("bigint")).alias("x"))
+
+
+@query(f"WITH {t.CUSTOMERS}, g AS (SELECT idx // 10 AS gid, min(c_acctbal) AS low, max(c_acctbal) AS high FROM c GROUP BY 1) SELECT gid, CASE WHEN high > 9900 THEN 0 WHEN low < -900 THEN 1 WHEN high < 9000 THEN 2 ELSE -1 END AS ended, NOT (high <= 9900 AND low < -900) AS output FROM g")
+def done_and_stopped(spark: SparkSession, d: str) -> DataFrame:
+    """Substeps that end early: with their output, without it, or with it at the third statement."""
     ts = t.customers(spark, d).group_by(10)
-    x = ts.members.join(ts.targets.select("idx", "c_acctbal"), "idx").groupBy("gid").agg(F.sum(F.round(F.col("c_acctbal") * 100).cast("bigint")).alias("x"))
-    return x.agg(F.count("*").alias("n_substeps"), F.sum("x").alias("total_cents"), F.max_by("x", "gid").alias("last_cents"))
+    values = ts.members.join(ts.targets, "idx").groupBy("gid").agg(F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
+    return ts.run_statements(values, ("done_if", F.col("high") > 9900), ("stop_if", F.col("low") < -900), ("done_if", F.col("high") < 9000)).na.fill(-1, ["ended"])
+
+
+@query(f"WITH {t.PARTS} SELECT idx // 7 AS gid, idx % 7 AS pos, idx FROM p")
+def group_auto(spark: SparkSession, d: str) -> DataFrame:
+    """``auto`` keeps the groups that are there; ``None`` drops them."""
+    ts = t.parts(spark, d).group_by(7).group_by("auto")
+    assert ts.group_by(None).groups is None
+    return _members(ts)

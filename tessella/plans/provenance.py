@@ -49,12 +49,40 @@ def signature_validate(spark: SparkSession, d: str) -> DataFrame:
     return p.validate(current, stored, now, then)
 
 
-@query("""WITH i AS (SELECT l_orderkey AS step_id, string_agg(CAST(l_partkey AS VARCHAR), chr(30) ORDER BY CAST(l_partkey AS VARCHAR)) AS input, string_agg(CAST(l_suppkey AS VARCHAR), chr(30) ORDER BY CAST(l_suppkey AS VARCHAR)) AS output FROM lineitem GROUP BY 1)
-SELECT step_id, md5('run' || chr(31) || input || chr(31) || output || chr(31)) AS sig_id FROM i""")
+_SIGS = """i AS (SELECT l_orderkey AS step_id, string_agg(CAST(l_partkey AS VARCHAR), chr(30) ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS input, string_agg(CAST(l_suppkey AS VARCHAR), chr(30) ORDER BY l_linenumber, CAST(l_suppkey AS VARCHAR)) AS output FROM lineitem GROUP BY 1),
+s AS (SELECT step_id, md5('run' || chr(31) || input || chr(31) || output || chr(31) || chr(31) || 'a=' || CAST(step_id % 5 AS VARCHAR) || chr(30) || 'b=' || coalesce(o_orderstatus, '') || chr(31)) AS sig_id FROM i JOIN orders ON o_orderkey = step_id)"""
+
+
+@query(f"WITH {_SIGS} SELECT step_id, sig_id FROM s")
 def signature_id(spark: SparkSession, d: str) -> DataFrame:
-    """Signatures of steps that read parts and write suppliers."""
-    lines = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("step_id"), F.lit("run").alias("body"), F.explode(F.array(F.struct(F.lit("input").alias("role"), F.col("l_partkey").cast("string").alias("name")), F.struct(F.lit("output").alias("role"), F.col("l_suppkey").cast("string").alias("name")))).alias("t")).select("step_id", "body", "t.*")
-    return p.signature_ids(lines)
+    """Signatures of steps that read parts and write suppliers, in the order of their lines, with two variables."""
+    return _signatures(spark, d)
+
+
+def _signatures(spark: SparkSession, d: str) -> DataFrame:
+    roles = F.array(*(F.struct(F.lit(r).alias("role"), F.col(c).cast("string").alias("name")) for r, c in (("input", "l_partkey"), ("output", "l_suppkey"))))
+    lines = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("step_id"), F.lit("run").alias("body"), F.col("l_linenumber").alias("ord"), F.explode(roles).alias("t")).select("step_id", "body", "ord", "t.*")
+    variables = F.array(F.struct(F.lit("b").alias("var"), F.col("o_orderstatus").alias("value")), F.struct(F.lit("a").alias("var"), (F.col("o_orderkey") % 5).cast("string").alias("value")))
+    return p.signature_ids(lines, t.table(spark, d, "orders").select(F.col("o_orderkey").alias("step_id"), F.explode(variables).alias("v")).select("step_id", "v.*"))
+
+
+@query("SELECT l_orderkey AS step_id, CAST(l_linenumber AS BIGINT) AS gid FROM lineitem WHERE l_linenumber > 3")
+def loop_reuse(spark: SparkSession, d: str) -> DataFrame:
+    """Loops over lines that once had three at most: only the groups that are new run."""
+    groups = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("step_id"), F.col("l_linenumber").cast("bigint").alias("gid"), p.signature_id(F.lit("run"), F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")).alias("sig_id"))
+    return p.groups_to_run(groups, groups.where("gid <= 3")).select("step_id", "gid")
+
+
+@query(f"WITH {_FILES}, r AS (SELECT k, CASE WHEN k % 6 = 0 THEN 'no signature' WHEN k % 6 = 1 THEN 'target changed' ELSE 'match' END AS reason FROM c), m AS (SELECT unnest(['default', 'skip', 'force', 'ignore', 'build']) AS mode) SELECT mode, k AS step_id FROM r, m WHERE mode IN ('force', 'ignore') OR (mode IN ('default', 'skip') AND reason <> 'match')")
+def modes_to_run(spark: SparkSession, d: str) -> DataFrame:
+    """What runs in each signature mode."""
+    k = F.col("k")
+    decisions = _current(spark, d).select(k.alias("step_id"), F.when(k % 6 == 0, "no signature").when(k % 6 == 1, "target changed").otherwise("match").alias("reason"))
+    parts = [p.to_run(decisions, mode).select(F.lit(mode).alias("mode"), "step_id") for mode in ("default", "skip", "force", "ignore", "build")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("""SELECT k, coalesce(a IS NOT NULL AND (b IS NULL OR a > b), FALSE) AS fresh FROM (SELECT l_orderkey AS k, min(l_shipdate) AS a FROM lineitem GROUP BY 1) FULL JOIN (SELECT o_orderkey AS k, max(o_orderdate) AS b FROM orders GROUP BY 1) USING (k)""")

@@ -1,4 +1,4 @@
-"""Queries of steps: lineitems are outputs, their supplier a numbered step, the return flag a label."""
+"""Queries of steps: orders are outputs, their customer a numbered step of one of five workflows, the priority a label."""
 
 from __future__ import annotations
 
@@ -24,6 +24,27 @@ def output_from(spark: SparkSession, d: str) -> DataFrame:
     return steps.output_from(_outputs(spark, d), ["w3", "w1"]).targets.select("idx", "name", "label")
 
 
+_LAST_TWO = "z AS (SELECT max(n) AS cur FROM o WHERE wf = 'w1'), pv AS (SELECT max(n) AS prev FROM o, z WHERE wf = 'w1' AND n < cur), f AS (SELECT min(n) AS low FROM o WHERE wf = 'w1'), q AS (SELECT row_number() OVER (ORDER BY CASE WHEN n = prev THEN 0 ELSE 1 END, ord) - 1 AS idx, name, step FROM o, pv, f WHERE wf = 'w1' AND (n = prev OR n = low))"
+
+
+@query(f"WITH {_OUT}, {_LAST_TWO}, v AS (SELECT * FROM (VALUES (0, 'a'), (1, 'b')) AS x(o_, tag)) SELECT o_ * ceil((SELECT count(*) FROM q) / 3.0)::BIGINT + idx // 3 AS gid, idx % 3 AS pos, name, step AS label, substr(name, 1, 1) AS head, tag, 'p' AS batch FROM q, v")
+def output_from_options(spark: SparkSession, d: str) -> DataFrame:
+    """The step before the current one and a step by its number, with all options of a collection."""
+    out = _outputs(spark, d)
+    own = out.where(F.col("step").startswith("w1_")).agg(F.max(steps.step_number(F.col("step"))).alias("n"), F.min(steps.step_number(F.col("step"))).alias("low")).first()
+    ts = steps.output_from(out, [-1, own.low], current=f"w1_{own.n}", pattern="{head,.}{rest,.*}", paired_with={"batch": "p"}, group_by=3, for_each={"tag": ["a", "b"]}, remove_empty_groups=True)
+    return ts.listed().join(ts.groups, "gid").join(ts.targets.select("idx", "head", "batch"), "idx").select("gid", "pos", "name", "label", "head", "tag", "batch")
+
+
+@query(f"WITH {_OUT}, k AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY ord) - 1 AS r, count(*) OVER (PARTITION BY step) AS m FROM o) SELECT step, CAST(sum(ord) AS BIGINT) AS total, count(*) AS n FROM k WHERE ord % 4 <> 0 GROUP BY 1")
+def required_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Outputs behind a check that ends the query if it fails, and a condition that is only counted."""
+    out = _outputs(spark, d).where("ord % 4 <> 0")
+    checked = steps.fail_if(out, F.col("ord") < 0, "no order has such a key")
+    watched = steps.warn_if(checked, F.col("label") == "2-HIGH", "urgent")
+    return watched.groupBy("step").agg(F.sum("ord").alias("total"), F.count("*").alias("n"))
+
+
 @query(f"WITH {_OUT}, f AS (SELECT arg_min(step, n) AS step FROM o WHERE label = '2-HIGH') SELECT row_number() OVER (ORDER BY ord) - 1 AS idx, name FROM o WHERE label = '2-HIGH' AND step = (SELECT step FROM f)")
 def named_output(spark: SparkSession, d: str) -> DataFrame:
     return steps.named_output(_outputs(spark, d), "2-HIGH").targets.select("idx", "name")
@@ -59,3 +80,9 @@ def regenerated_steps(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT page_id, CASE WHEN url LIKE '%.csv' THEN 'csv' WHEN url LIKE '%.html' THEN 'html' ELSE 'text' END AS shown_by FROM pages")
 def previewer(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "pages").select("page_id", steps.previewer(F.col("url")).alias("shown_by"))
+
+
+@query("SELECT page_id, CASE WHEN url LIKE '%.csv' THEN 'csv' WHEN url LIKE '%.html' THEN 'html' WHEN regexp_matches(html, '^\\s*(<!doctype html|<html)', 'i') THEN 'html' ELSE 'text' END AS shown_by FROM pages")
+def previewer_by_content(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose address says nothing are known by how they start."""
+    return t.table(spark, d, "pages").select("page_id", steps.previewer(F.col("url"), content=F.col("html")).alias("shown_by"))

@@ -52,20 +52,45 @@ def combine_results(spark: SparkSession, d: str) -> DataFrame:
     return m.combined_result(t.table(spark, d, "lineitem"), "l_orderkey", F.col("l_linenumber"), F.col("l_returnflag") == "R", F.col("l_linestatus") == "F")
 
 
-@query("SELECT l_orderkey, CAST(ceil(count(*) / 4.0) * 30 AS BIGINT) AS walltime, CAST(8 AS BIGINT) AS mem, CAST(4 AS BIGINT) AS cores FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, CAST(ceil(count(*) / 4.0) * (30 + l_orderkey % 7) AS BIGINT) AS walltime, CAST(2 * (4 + l_orderkey % 3) AS BIGINT) AS mem, CAST(2 * (1 + l_orderkey % 5) AS BIGINT) AS cores FROM lineitem GROUP BY l_orderkey")
 def resource_rollup(spark: SparkSession, d: str) -> DataFrame:
-    tasks = t.table(spark, d, "lineitem").select("l_orderkey", F.lit(30).alias("w"), F.lit(4).alias("m"), F.lit(2).alias("c"))
+    tasks = t.table(spark, d, "lineitem").select("l_orderkey", (30 + F.col("l_orderkey") % 7).alias("w"), (4 + F.col("l_orderkey") % 3).alias("m"), (1 + F.col("l_orderkey") % 5).alias("c"))
     return m.resources(tasks, "l_orderkey", "w", "m", "c", workers=2, nodes=2)
 
 
-@query("""WITH p AS (SELECT l_orderkey AS batch, row_number() OVER () AS member, * FROM lineitem), k AS (SELECT batch, member, 'flag' AS key, l_returnflag AS value FROM p UNION ALL SELECT batch, member, 'status', l_linestatus FROM p)
-SELECT batch, key, min(value) AS value FROM k GROUP BY 1, 2 HAVING count(DISTINCT value) = 1""")
+@query("""WITH p AS (SELECT l_orderkey AS batch, row_number() OVER () AS member, * FROM lineitem), k AS (SELECT batch, member, 'flag' AS key, l_returnflag AS value FROM p UNION ALL SELECT batch, member, 'status', l_linestatus FROM p UNION ALL SELECT batch, member, 'mode', 'x' FROM p WHERE l_linenumber <> 3 UNION ALL SELECT batch, member, 'rare', CASE WHEN l_linenumber <> 2 THEN 'y' END FROM p)
+SELECT batch, key, min(value) AS value FROM k JOIN (SELECT batch, count(*) AS n FROM p GROUP BY 1) USING (batch) GROUP BY 1, 2 HAVING count(DISTINCT value) = 1 AND count(DISTINCT member) = any_value(n) AND count(value) = count(*)""")
 def common_values(spark: SparkSession, d: str) -> DataFrame:
-    """Parameters that all subtasks of a batch share."""
+    """Parameters that all subtasks of a batch share: one is missing in some of them, one is null in some."""
     lines = t.table(spark, d, "lineitem")
     member = F.xxhash64(*lines.columns)
-    pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in (("flag", "l_returnflag"), ("status", "l_linestatus"))))
-    return m.common_values(lines.select(F.col("l_orderkey").alias("batch"), member.alias("member"), F.explode(pairs).alias("p")).select("batch", "member", "p.*"))
+    value = {"flag": F.col("l_returnflag"), "status": F.col("l_linestatus"), "mode": F.when(F.col("l_linenumber") != 3, "x"), "rare": F.when(F.col("l_linenumber") != 2, "y")}
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in value.items()))
+    rows = lines.select(F.col("l_orderkey").alias("batch"), member.alias("member"), F.explode(pairs).alias("p")).select("batch", "member", "p.*")
+    return m.common_values(rows.where("key <> 'mode' OR value IS NOT NULL"))
+
+
+@query("""WITH s AS (SELECT user_id, count(*) FILTER (event_type <> 'error') AS a, count(*) FILTER (event_type = 'error') AS b FROM events GROUP BY 1),
+x AS (SELECT count(*) AS n_steps, count(*) FILTER (a > 0 AND b = 0) AS n_run, count(*) FILTER (a > 0 AND b > 0) AS n_partial, count(*) FILTER (a = 0) AS n_ignored, CAST(sum(a) AS BIGINT) AS n_completed, CAST(sum(b) AS BIGINT) AS n_skipped FROM s)
+SELECT *, n_steps || ' steps (' || n_completed || ' completed substeps, ' || n_skipped || ' skipped substeps)' AS said FROM x""")
+def completion_totals(spark: SparkSession, d: str) -> DataFrame:
+    return m.completion_totals(t.table(spark, d, "events"), "user_id", F.col("event_type") == "error")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' THEN CAST(-1 AS BIGINT) WHEN l_returnflag = 'N' THEN CAST(20000 - epoch_us(l_shipdate) // 86400000000 AS BIGINT) ELSE CAST(l_linenumber AS BIGINT) END AS days FROM lineitem""")
+def task_durations(spark: SparkSession, d: str) -> DataFrame:
+    """Lineitems are tasks that start when shipped: some never ran, some run still, the rest ended days later."""
+    lines = t.table(spark, d, "lineitem")
+    shipped = F.unix_date(F.col("l_shipdate").cast("date"))
+    status = F.when(F.col("l_returnflag") == "N", "running").otherwise("completed")
+    return lines.select("l_orderkey", "l_linenumber", m.duration(status, F.lit(20000), F.when(F.col("l_linestatus") != "F", shipped), shipped + F.col("l_linenumber")).cast("bigint").alias("days")).na.fill(-1, ["days"])
+
+
+@query("SELECT 'event_id' AS along, TRUE AS ordered UNION ALL SELECT 'value', (SELECT count(*) = 0 FROM (SELECT value, lead(value) OVER (ORDER BY event_id) AS n FROM events) WHERE value > n)")
+def sorted_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Whether columns never fall along the order of events."""
+    e = t.table(spark, d, "events").select("event_id", "value", F.col("event_id").alias("copy"))
+    return spark.createDataFrame([("event_id", m.is_sorted(e, "event_id", "copy")), ("value", m.is_sorted(e, "event_id", "value"))], "along string, ordered boolean")
 
 
 @query("SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 16 AS trunk, (row_number() OVER (ORDER BY event_id) - 1) % 16 AS slot FROM events WHERE event_type <> 'error'")

@@ -56,7 +56,12 @@ def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
 
 def archive_members(spark: SparkSession, root: str) -> DataFrame:
     """(path, n, member): the members of zip and tar archives; of tar only files."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.lower("path").rlike(r"\.(zip|tar|tar\.gz|tgz)$")).select("path", "content")
+    return members_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
+
+
+def members_of(archives: DataFrame) -> DataFrame:
+    """(path, n, member) of archives (path, content), by the ends of their paths."""
+    found = archives.where(F.lower("path").rlike(r"\.(zip|tar|tar\.gz|tgz)$")).select("path", "content")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -39,7 +39,7 @@ def overdue(stream: DataFrame, seconds: float) -> DataFrame:
         for t in times:
             start = t if start is None else min(start, t)
             if not told and t - start > seconds:
-                out.append((key[0], pd.Timestamp(t, unit="s"), t - start))
+                out.append((key[0], pd.Timestamp(round(t * 1_000_000), unit="us"), t - start))
                 told = True
         state.update((start, told))
         yield pd.DataFrame(out, columns=["task_id", "ts", "elapsed"])
@@ -54,7 +54,7 @@ def silent(stream: DataFrame, seconds: int) -> DataFrame:
         if state.hasTimedOut:
             last = state.get[0]
             state.remove()
-            yield pd.DataFrame([(key[0], pd.Timestamp(last, unit="s"))], columns=["task_id", "last"])
+            yield pd.DataFrame([(key[0], pd.Timestamp(round(last * 1_000_000), unit="us"))], columns=["task_id", "last"])
             return
         last = state.get[0] if state.exists else 0.0
         for part in parts:
