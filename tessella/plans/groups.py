@@ -82,17 +82,22 @@ def group_combinations3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, d: str) -> TargetSet:
-    return t.regions(spark, d).merge(t.nations(spark, d))
+    named = lambda table, key, label: TargetSet.from_table(t.table(spark, d, table), f"{key[0]}_name", key, F.lit(label))
+    return named("supplier", "s_suppkey", "supplier").merge(named("customer", "c_custkey", "customer"))
 
 
-@query(f"""WITH {t.BOTH}, k AS (SELECT idx, label, row_number() OVER (PARTITION BY label ORDER BY idx) - 1 AS r, count(*) OVER (PARTITION BY label) AS m FROM b), g AS (SELECT CAST(range AS BIGINT) AS gid FROM range((SELECT max(m) FROM k)))
-SELECT gid, CASE label WHEN 'region' THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS pos, idx FROM k JOIN g ON gid // ((SELECT max(m) FROM k) // m) = r""")
+_BOTH = f"{t.SUPPLIERS}, {t.CUSTOMERS}, b AS (SELECT idx, 'supplier' AS label FROM s UNION ALL SELECT idx + (SELECT count(*) FROM s), 'customer' FROM c), k AS (SELECT idx, label, row_number() OVER (PARTITION BY label ORDER BY idx) - 1 AS r, count(*) OVER (PARTITION BY label) AS m FROM b)"
+
+
+@query(f"""WITH {_BOTH}, g AS (SELECT unnest(range((SELECT max(m) FROM k))) AS gid)
+SELECT gid, CASE label WHEN 'supplier' THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS pos, idx FROM k JOIN g ON gid // ((SELECT max(m) FROM k) // m) = r""")
 def group_pairlabel(spark: SparkSession, d: str) -> DataFrame:
+    """Every supplier stands beside fifteen customers, one a group."""
     return _members(_both(spark, d).group_by("pairlabel"))
 
 
-@query(f"""WITH {t.BOTH}, k AS (SELECT idx, label, row_number() OVER (PARTITION BY label ORDER BY idx) - 1 AS r FROM b)
-SELECT r AS gid, CAST(0 AS BIGINT) AS pos, idx FROM k WHERE label = 'region' UNION ALL SELECT r // 5, 1 + r % 5, idx FROM k WHERE label = 'nation'""")
+@query(f"""WITH {_BOTH}, g AS (SELECT unnest(range((SELECT max(m) // 5 FROM k))) AS gid)
+SELECT gid, CAST(0 AS BIGINT) AS pos, idx FROM k JOIN g ON label = 'supplier' AND gid // ((SELECT max(m) // 5 FROM k) // m) = r UNION ALL SELECT r // 5, 1 + r % 5, idx FROM k WHERE label = 'customer'""")
 def group_pairlabel_n(spark: SparkSession, d: str) -> DataFrame:
     return _members(_both(spark, d).group_by("pairsource5"))
 
