@@ -17,6 +17,9 @@ from tessella.shared import cut
 
 _LOCAL_BITS = 33  # of monotonically_increasing_id
 
+#: Up to so many keys are broadcast; sizes of files do not tell, as sorted numbers compress to next to nothing.
+FEW_KEYS = 100_000
+
 
 def with_ordinal(df: DataFrame, *order: str | Column, name: str = "idx") -> DataFrame:
     """``df`` with the 0-based position of each row in ``order`` as a long column.
@@ -36,10 +39,11 @@ def with_rank_in(df: DataFrame, key: str, *order: str, name: str = "rank") -> Da
     """``df`` with the 0-based position of each row among those of its ``key``.
 
     A key that holds a large share of the rows is spread over many tasks.  Null
-    keys are one key.
+    keys are one key.  The keys are counted first: many of them are not broadcast.
     """
     ordered = with_ordinal(df, key, *order, name="_at")
     first = ordered.groupBy(F.col(key).alias("_key")).agg(F.min("_at").alias("_first"))
+    first = F.broadcast(first) if first.count() <= FEW_KEYS else first.hint("merge")
     joined = ordered.join(first, F.col(key).eqNullSafe(F.col("_key")))
     return joined.withColumn(name, F.col("_at") - F.col("_first")).drop("_at", "_key", "_first")
 
@@ -48,10 +52,11 @@ def with_previous(df: DataFrame, key: str, *order: str, values: dict[str, str])
     """``df`` with values of the row before among those of its ``key``: new name -> column; null for the first.
 
     Neighbours meet by their ordinals, so a hot key is spread over many tasks.
+    Both sides are all rows: neither is broadcast.
     """
     placed = with_ordinal(df, key, *order, name="_at")
     before = placed.select((F.col("_at") + 1).alias("_at"), F.col(key).alias("_key"), *(F.col(c).alias(n) for n, c in values.items()))
-    joined = placed.join(before, "_at", "left")
+    joined = placed.join(before.hint("merge"), "_at", "left")
     same = F.col(key).eqNullSafe(F.col("_key"))
     return joined.select(*df.columns, *(F.when(same, F.col(n)).alias(n) for n in values))
 

@@ -116,12 +116,12 @@ def group_function_overlapping(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {t.ORDERS}, l AS (SELECT o_custkey AS k, o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders), g AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS gid FROM (SELECT DISTINCT k FROM l)) SELECT gid, row_number() OVER (PARTITION BY gid ORDER BY idx DESC) - 1 AS pos, idx FROM l JOIN g USING (k)")
 def group_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Lists of positions: the orders of each customer, last first."""
+    """Lists of positions: the orders of each customer, last first.  Orders and customers are many: neither is broadcast."""
     ts = t.orders(spark, d)
-    rows = ts.targets.select("idx", F.col("name").cast("bigint").alias("o_orderkey")).join(t.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    rows = ts.targets.select("idx", F.col("name").cast("bigint").alias("o_orderkey")).join(t.table(spark, d, "orders").select("o_orderkey", "o_custkey").hint("merge"), "o_orderkey")
     gids = with_ordinal(rows.select("o_custkey").distinct(), "o_custkey", name="gid")
     ranked = with_rank_in(rows.select("o_custkey", "idx", (-F.col("idx")).alias("_back")), "o_custkey", "_back", name="pos")
-    return _members(ts.group_by(ranked.join(gids, "o_custkey").select("gid", "pos", "idx")))
+    return _members(ts.group_by(ranked.join(gids.hint("merge"), "o_custkey").select("gid", "pos", "idx")))
 
 
 @query(f"WITH {t.PARTS}, o AS (SELECT idx // 7 AS gid, idx % 7 AS pos, 'size-' || CAST(p_size AS VARCHAR) AS name, idx FROM p), f AS (SELECT name, min(idx) AS idx FROM o GROUP BY 1) SELECT gid, row_number() OVER (PARTITION BY gid ORDER BY pos) - 1 AS pos, row_number() OVER (ORDER BY idx) - 1 AS idx, name FROM o JOIN f USING (name, idx)")
