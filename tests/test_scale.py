@@ -1,6 +1,12 @@
 """Steps whose memory or time grew faster than their input."""
 
+from itertools import combinations
+
+import pytest
+from pyspark.sql import functions as F
+
 from tessella.functions import ordinal
+from tessella.operators import grouping
 from tessella.plans import groups
 from tests.conftest import DATA
 
@@ -24,3 +30,24 @@ def test_many_keys_are_not_broadcast(spark, monkeypatch):
 def test_lists_of_orders_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(ordinal, "FEW_KEYS", 10)
     assert "Broadcast" not in executed(groups.group_lists(spark, str(DATA)))[1]
+
+
+def numbered(spark, n):
+    """Targets of one partition, as small tables are read."""
+    return spark.range(0, n, 1, 1).select(F.col("id").alias("idx"))
+
+
+@pytest.mark.parametrize("n, k", [(9, 2), (8, 3), (7, 4), (2, 2), (3, 3), (5, 1), (1, 2)])
+def test_combinations_in_stretches(spark, monkeypatch, n, k):
+    monkeypatch.setattr(grouping, "STRETCH", 3)
+    monkeypatch.setattr(grouping, "PER_TASK", 4)
+    members, made = grouping.group(numbered(spark, n), f"combinations{k}")
+    expected = list(combinations(range(n), k))
+    assert sorted(tuple(r) for r in members.collect()) == [(g, p, i) for g, c in enumerate(expected) for p, i in enumerate(c)]
+    assert made.count() == len(expected)
+
+
+def test_combinations_are_dealt_evenly(spark):
+    members, _ = grouping.group(numbered(spark, 4000), "combinations2")
+    sizes = [r["count"] for r in members.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 4000 * 3999 and len(sizes) == 2 and max(sizes) < 0.6 * sum(sizes)
