@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import ordinal
-from tessella.operators import grouping
+from tessella.operators import grouping, targets
+from tessella.operators.targets import TargetSet
 from tessella.plans import groups
 from tests.conftest import DATA
 
@@ -51,3 +52,38 @@ def test_combinations_are_dealt_evenly(spark):
     members, _ = grouping.group(numbered(spark, 4000), "combinations2")
     sizes = [r["count"] for r in members.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(sizes) == 4000 * 3999 and len(sizes) == 2 and max(sizes) < 0.6 * sum(sizes)
+
+
+def placed(ts):
+    """Names by group and position, listed and joined by hand."""
+    rows = sorted((r.gid, r.pos, r.name) for r in ts.listed().collect())
+    assert rows == sorted((r.gid, r.pos, r.name) for r in ts.members.join(ts.targets, "idx").collect())
+    return rows
+
+
+LONE, SEVERAL = ["a", "b", "c"], [["x", "y"], ["z"], [], ["x"]]
+
+
+def sides(spark):
+    return TargetSet.of(spark, LONE), TargetSet.of(spark, "x", "y", "z").group_by([[0, 1], [2], [], [0]])
+
+
+def expected(lone_first):
+    return sorted((g, p, n) for g, own in enumerate(SEVERAL) for p, n in enumerate(LONE + own if lone_first else own + LONE))
+
+
+def repeated(spark, monkeypatch, make, lone_first):
+    """The repeated group meets the others in one task or many, either side broadcast or none; names are joined before."""
+    for per_task, most in ((4_000_000, 500_000), (2, 500_000), (2, 3), (2, 1)):
+        monkeypatch.setattr(targets, "PER_TASK", per_task)
+        monkeypatch.setattr(targets, "MOST_BROADCAST", most)
+        assert placed(make(*sides(spark))) == expected(lone_first)
+    monkeypatch.undo()
+    many = TargetSet(spark.range(0, 2500, 1, 1).selectExpr("id AS idx", "'file' AS kind", "'n' || id AS name", "'' AS label"))
+    listed = make(many, many.group_by("single")).listed()
+    sizes = [r["count"] for r in listed.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 2500 * 2501 and max(sizes) < 0.6 * sum(sizes)
+
+
+def test_merge_1n_is_spread(spark, monkeypatch):
+    repeated(spark, monkeypatch, lambda lone, several: lone.group_by("all").merge(several), True)
