@@ -19,6 +19,10 @@ from tessella.sources import files, stores
 from tessella.streaming import pulses
 
 
+#: Keys of customers whose cells stand in the same notebooks.
+KEYS_PER_BOOK = 100_000
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tessella-files-{uuid.uuid4().hex}"
 
@@ -69,13 +73,13 @@ def compressed_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CAST(c_custkey % 4 AS VARCHAR) AS kernel, 'x = ' || c_custkey || chr(10) || 'print(x)' AS source FROM customer WHERE c_custkey % 3 <> 0")
 def notebook_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Code cells of notebooks; every third cell is text."""
+    """Code cells of notebooks; every third cell is text.  A notebook, which is read whole, holds customers of one nation and stretch of keys."""
     path = _folder(spark)
     c = F.col("c_custkey")
     source = F.array(F.concat(F.lit("x = "), c.cast("string"), F.lit("\n")), F.lit("print(x)"))
     cell = F.struct(F.when(c % 3 == 0, "markdown").otherwise("code").alias("cell_type"), F.struct((c % 4).cast("string").alias("kernel")).alias("metadata"), source.alias("source"))
-    books = t.table(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_list(cell).alias("cells"))
-    books.select("cells").repartition(4, "cells").write.option("maxRecordsPerFile", 1).json(path)
+    books = t.table(spark, d, "customer").groupBy("c_nationkey", F.floor(c / KEYS_PER_BOOK)).agg(F.collect_list(cell).alias("cells"))
+    books.select("cells").write.option("maxRecordsPerFile", 1).json(path)
     return files.notebook_cells(spark, path).select("kernel", "source")
 
 

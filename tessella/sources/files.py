@@ -80,9 +80,11 @@ def members_of(archives: DataFrame) -> DataFrame:
 
 def notebook_cells(spark: SparkSession, path: str, kernel: str | None = None) -> DataFrame:
     """(file, ord, cell_type, kernel, source) of notebooks' code cells, of one kernel if it is named."""
-    schema = "cells array<struct<cell_type:string,metadata:struct<kernel:string>,source:string>>"
-    read = spark.read.schema(schema).option("multiLine", "true").json(path)
-    cells = read.select(F.col("_metadata.file_path").alias("file"), F.posexplode("cells").alias("ord", "c")).select("file", "ord", "c.cell_type", F.col("c.metadata.kernel").alias("kernel"), source_text(F.col("c.source")).alias("source"))
+    schema = "array<struct<cells:array<struct<cell_type:string,metadata:struct<kernel:string>,source:string>>>>"
+    # Read as text: where sources are lists, the reader of JSON files was seen to read many times what a file holds.
+    text = F.regexp_replace("value", "^\ufeff", "")
+    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.explode(F.from_json(text, schema)).alias("book"))
+    cells = read.select("file", F.posexplode("book.cells").alias("ord", "c")).select("file", "ord", "c.cell_type", F.col("c.metadata.kernel").alias("kernel"), source_text(F.col("c.source")).alias("source"))
     code = cells.where("cell_type = 'code'")
     return code if kernel is None else code.where(F.coalesce("kernel", F.lit(kernel)) == kernel)
 

@@ -1,5 +1,6 @@
 """Steps whose memory or time grew faster than their input."""
 
+import json
 from itertools import combinations
 
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from tessella.functions import ordinal
 from tessella.operators import grouping, targets
 from tessella.operators.targets import TargetSet
-from tessella.plans import groups
+from tessella.plans import groups, reading
+from tessella.sources import files
 from tests.conftest import DATA
 
 
@@ -87,3 +89,24 @@ def repeated(spark, monkeypatch, make, lone_first):
 
 def test_merge_1n_is_spread(spark, monkeypatch):
     repeated(spark, monkeypatch, lambda lone, several: lone.group_by("all").merge(several), True)
+
+
+def test_notebooks_stay_small(spark, monkeypatch, tmp_path):
+    """More customers give more notebooks, not longer ones."""
+    monkeypatch.setattr(reading, "KEYS_PER_BOOK", 50)
+    monkeypatch.setattr(reading, "_folder", lambda spark: str(tmp_path / "books"))
+    found = reading.notebook_cells(spark, str(DATA))
+    n = spark.read.parquet(f"{DATA}/customer.parquet").where("c_custkey % 3 <> 0").count()
+    assert found.count() == n
+    cells = [len(json.loads(f.read_text())["cells"]) for f in (tmp_path / "books").glob("part-*")]
+    assert len(cells) > 25 and max(cells) <= 50
+
+
+def test_notebooks_are_read_once(spark, tmp_path):
+    """Lists, texts and odd characters of sources; a mark of byte order; several notebooks in a file."""
+    book = lambda *sources: {"cells": [{"cell_type": "code", "metadata": {"kernel": "A"}, "source": s} for s in sources]}
+    (tmp_path / "a.ipynb").write_text(json.dumps(book(["x = \"\u00e9\\n\"\n", "y"], [])), encoding="utf-8-sig")
+    (tmp_path / "b.ipynb").write_text(json.dumps([book("p"), book(["q", "r"])]))
+    found = files.notebook_cells(spark, str(tmp_path))
+    assert sorted((r.file[-7:], r.ord, r.source) for r in found.collect()) == [("a.ipynb", 0, "x = \"\u00e9\\n\"\ny"), ("a.ipynb", 1, ""), ("b.ipynb", 0, "p"), ("b.ipynb", 0, "qr")]
+    assert "FileScan json" not in found._jdf.queryExecution().executedPlan().toString()
