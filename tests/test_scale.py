@@ -91,6 +91,10 @@ def test_merge_1n_is_spread(spark, monkeypatch):
     repeated(spark, monkeypatch, lambda lone, several: lone.group_by("all").merge(several), True)
 
 
+def test_merge_0n_is_spread(spark, monkeypatch):
+    repeated(spark, monkeypatch, lambda lone, several: lone.merge(several), True)
+
+
 def test_merge_n1_is_spread(spark, monkeypatch):
     repeated(spark, monkeypatch, lambda lone, several: several.merge(lone.group_by("all")), False)
 
