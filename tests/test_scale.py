@@ -99,6 +99,22 @@ def test_merge_n1_is_spread(spark, monkeypatch):
     repeated(spark, monkeypatch, lambda lone, several: several.merge(lone.group_by("all")), False)
 
 
+@pytest.mark.parametrize("lone_first", [True, False])
+def test_repeats_are_made_in_tiles(spark, monkeypatch, tmp_path, lone_first):
+    """Stretches of groups over several tasks; written, a row takes less than a byte, as a task repeats few values."""
+    make = lambda lone, several: lone.merge(several) if lone_first else several.merge(lone)
+    for per_task, stretch in ((2, 1), (2, 2), (6, 2), (7, 3), (100, 1)):
+        monkeypatch.setattr(targets, "PER_TASK", per_task)
+        monkeypatch.setattr(targets, "STRETCH", stretch)
+        assert placed(make(*sides(spark))) == expected(lone_first)
+    monkeypatch.undo()
+    many = lambda n: TargetSet(spark.range(0, n, 1, 3).selectExpr("id AS idx", "'file' AS kind", "'n' || id AS name", "'' AS label"))
+    listed = make(many(100), many(30000).group_by("single")).listed()
+    listed.write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 30000 * 101
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 30000 * 101
+
+
 def test_notebooks_stay_small(spark, monkeypatch, tmp_path):
     """More customers give more notebooks, not longer ones."""
     monkeypatch.setattr(reading, "KEYS_PER_BOOK", 50)
