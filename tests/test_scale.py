@@ -115,6 +115,20 @@ def test_repeats_are_made_in_tiles(spark, monkeypatch, tmp_path, lone_first):
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 30000 * 101
 
 
+@pytest.mark.parametrize("lone_first", [True, False])
+def test_repeats_are_not_held(spark, monkeypatch, lone_first):
+    """A broadcast makes all rows of a stretch before it hands on the first: it takes few members."""
+    monkeypatch.setattr(targets, "STRETCH", 10)
+    monkeypatch.setattr(targets, "MOST_BROADCAST", 50)
+    several = TargetSet.of(spark, *(f"x{i}" for i in range(25))).group_by("single")
+    for n, broadcast in ((5, True), (6, False)):
+        lone = TargetSet.of(spark, *(f"n{i}" for i in range(n))).group_by("all")
+        rows, plan = executed((lone.merge(several) if lone_first else several.merge(lone)).listed())
+        names = [f"n{i}" for i in range(n)]
+        assert sorted((r.gid, r.pos, r.name) for r in rows) == sorted((g, p, x) for g in range(25) for p, x in enumerate([*names, f"x{g}"] if lone_first else [f"x{g}", *names]))
+        assert ("BroadcastNestedLoopJoin" in plan) == broadcast
+
+
 def test_notebooks_stay_small(spark, monkeypatch, tmp_path):
     """More customers give more notebooks, not longer ones."""
     monkeypatch.setattr(reading, "KEYS_PER_BOOK", 50)
