@@ -56,6 +56,21 @@ def test_combinations_are_dealt_evenly(spark):
     assert sum(sizes) == 4000 * 3999 and len(sizes) == 2 and max(sizes) < 0.6 * sum(sizes)
 
 
+def test_combinations_in_tiles(spark, monkeypatch, tmp_path):
+    """Tiles of all shapes, in one task or many; written, a row takes less than three bytes, as a task repeats few values."""
+    for stretch, high, per_task in ((1, 1, 1), (2, 3, 5), (3, 2, 4), (4, 100, 7), (100, 4, 1000)):
+        monkeypatch.setattr(grouping, "STRETCH", stretch)
+        monkeypatch.setattr(grouping, "HIGH", high)
+        monkeypatch.setattr(grouping, "PER_TASK", per_task)
+        for n, k in ((10, 2), (8, 3), (7, 4), (4, 4)):
+            made = sorted(tuple(r) for r in grouping.group(numbered(spark, n), f"combinations{k}")[0].collect())
+            assert made == [(g, p, i) for g, c in enumerate(combinations(range(n), k)) for p, i in enumerate(c)]
+    monkeypatch.undo()
+    grouping.group(numbered(spark, 3000), "combinations2")[0].write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3000 * 2999
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 3 * 3000 * 2999
+
+
 def placed(ts):
     """Names by group and position, listed and joined by hand."""
     rows = sorted((r.gid, r.pos, r.name) for r in ts.listed().collect())
