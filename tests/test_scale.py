@@ -144,6 +144,16 @@ def test_repeats_are_not_held(spark, monkeypatch, lone_first):
         assert ("BroadcastNestedLoopJoin" in plan) == broadcast
 
 
+def test_members_and_targets_are_not_broadcast(spark, monkeypatch):
+    """Only the packed groups are, of which there are few."""
+    monkeypatch.setattr(targets, "FEW_KEYS", 3, raising=False)
+    monkeypatch.setattr(targets, "STRETCH", 2)
+    monkeypatch.setattr(targets, "MOST_BROADCAST", 1)
+    lone, several = sides(spark)
+    for ts in (lone.merge(several), lone.group_by("all").merge(several), several.merge(lone.group_by("all")), several.merge(several), several):
+        assert "Broadcast" not in executed(ts.listed())[1]
+
+
 def test_notebooks_stay_small(spark, monkeypatch, tmp_path):
     """More customers give more notebooks, not longer ones."""
     monkeypatch.setattr(reading, "KEYS_PER_BOOK", 50)
